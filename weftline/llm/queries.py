@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import sharding
+from weftline.llm import sharding, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,8 +22,22 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def vocabulary(name: str) -> str:
+    """Where a public tokenizer's file is on this machine and on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as frequency-ranked token files and read back."""
+    files = token_files.write_token_files(_table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary("byte_bpe_50k.json"))
+    return token_files.read_token_files(spark, files)
+
+
 QUERIES: dict[str, Query] = {
     "op2_sharding": op2_sharding,
+    "op6_token_files": op6_token_files,
 }
 
 ORACLE_SQL: dict[str, str] = {}
