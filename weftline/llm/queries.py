@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import sharding, token_files
+from weftline.llm import sharding, syncmers, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,9 +35,15 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, files)
 
 
+def op7_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed-syncmer fingerprints of all documents, their edited texts and their successors."""
+    return syncmers.edited_fingerprints(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_sharding": op2_sharding,
     "op6_token_files": op6_token_files,
+    "op7_syncmers": op7_syncmers,
 }
 
 ORACLE_SQL: dict[str, str] = {}

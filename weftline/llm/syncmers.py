@@ -22,13 +22,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.plans.scratch import materialize
-
 K, SKETCH = 5, 128
 #: Scripts written without spaces: each character is a token.
 _ALONE = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}])"
 #: Text bytes of one range of ids, and the most ranges, whose bounds are held on the driver.
-RANGE_BYTES, MOST_RANGES = 8 << 20, 8192
+RANGE_BYTES, MOST_RANGES = 8 << 20, 4096
 
 
 def _tokens(text: Column) -> Column:
@@ -40,14 +38,8 @@ def _with_hashes(df: DataFrame, text: Column, hashes: str) -> DataFrame:
     return df.withColumn(hashes, F.transform(_tokens(F.coalesce(text, F.lit(""))), lambda w: F.xxhash64(w)))
 
 
-def _lowest(hashes: Column) -> Column:
-    """The smallest hash of each run of K=5 tokens, by doubling: runs of 2, of 4, of 5."""
-    n = F.size(hashes)
-    two = F.zip_with(F.slice(hashes, 1, n - 1), F.slice(hashes, 2, n - 1), F.least)
-    return two, lambda two: F.zip_with(F.slice(two, 1, n - 3), F.slice(two, 3, n - 3), F.least), lambda four: F.zip_with(F.slice(four, 1, n - 4), F.slice(hashes, 5, n - 4), F.least)
-
-
 def _with_lowest(df: DataFrame, hashes: str, out: str) -> DataFrame:
+    """Add the smallest hash of each run of K = 5 tokens, by doubling: of runs of 2, of 4, of 5."""
     h, n = F.col(hashes), F.size(hashes)
     long = n >= K
     two, four, five = f"{out}_2", f"{out}_4", out
@@ -121,27 +113,23 @@ def _range_of(value: Column, bounds: list[int]) -> Column:
     return F.coalesce(at, F.lit(0))
 
 
-def with_next(df: DataFrame, bounds: list[int], columns: list[str], order: str = "text_hash") -> DataFrame:
-    """Add ``next_<column>`` of the row after, by ascending ``doc_id``; after the last row comes the first.
+def with_next(texts: DataFrame, bounds: list[int]) -> DataFrame:
+    """Add ``sketch`` and ``next`` (text and sketch) of the row after by ascending ``doc_id``; after the last comes the first.
 
     Rows go to ranges of ids, one exchange; only the first row of each range is looked up
-    by the range before it.
+    by the range before it, so at most MOST_RANGES rows are broadcast and found again.
     """
-    nulls_first = [F.col("doc_id").asc_nulls_first(), F.col(order)]
-    ranged = df.withColumn("range", _range_of(F.col("doc_id"), bounds))
-    window = Window.partitionBy("range").orderBy(*nulls_first)
-    payload = F.struct(*columns)
-    followed = ranged.withColumn("next", F.lead(payload).over(window))
-    light = ranged.groupBy("range").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", order)).alias("first"))
+    ranged = texts.withColumn("range", _range_of(F.col("doc_id"), bounds))
+    window = Window.partitionBy("range").orderBy(F.col("doc_id").asc_nulls_first(), "text_hash")
+    followed = with_sketch(ranged, F.col("text"), "sketch").withColumn("next", F.lead(F.struct("text", "sketch")).over(window))
+    light = ranged.groupBy("range").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "text_hash")).alias("first"))
     around = Window.orderBy("range")  # a row a range
-    all_of = around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    heads = light.select("range", F.coalesce(F.lead("first").over(around), F.first("first").over(all_of)).alias("head"))
-    heads = heads.select("range", F.col("head.doc_id").alias("head_id"), F.col(f"head.{order}").alias("head_order"))
-    firsts = (
-        df.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col(order) == F.col("head_order")))
-        .groupBy("range")
-        .agg(F.any_value(payload).alias("head"))
-    )
+    everywhere = around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    heads = light.select("range", F.coalesce(F.lead("first").over(around), F.first("first").over(everywhere)).alias("head"))
+    heads = heads.select("range", F.col("head.doc_id").alias("head_id"), F.col("head.text_hash").alias("head_hash"))
+    at_head = F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("text_hash") == F.col("head_hash"))
+    firsts = texts.join(F.broadcast(heads), at_head).groupBy("range").agg(F.any_value("text").alias("text"))
+    firsts = with_sketch(firsts, F.col("text"), "sketch").select("range", F.struct("text", "sketch").alias("head"))
     return followed.join(firsts, "range", "left").withColumn("next", F.coalesce("next", "head")).drop("range", "head")
 
 
@@ -154,9 +142,7 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     texts = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     bounds = _ranges(texts, "doc_id", "text")
-    texts = texts.withColumn("text_hash", F.xxhash64("text"))
-    sketched = with_sketch(texts, F.col("text"), "sketch")
-    followed = with_next(sketched, bounds, ["text", "sketch"])
+    followed = with_next(texts.withColumn("text_hash", F.xxhash64("text")), bounds)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next.text"), F.lit(1), half))
