@@ -106,14 +106,20 @@ def unpack_file(content: bytes) -> tuple[list[int | None], np.ndarray, np.ndarra
     return [None if n else int(d) for d, n in zip(ids, null, strict=True)], lengths, decode_ranks(control, data, count)
 
 
+def _joined(column: pa.BinaryArray) -> np.ndarray:
+    """The bytes of all values of a binary column without nulls, one after the other, without copying."""
+    _, offsets, values = column.buffers()
+    ends = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(values or b"", np.uint8)[ends[0] : ends[-1]] if len(column) else np.zeros(0, np.uint8)
+
+
 def ranked_ids(tokens: DataFrame, vocab_size: int, dtype: np.dtype) -> tuple[np.ndarray, int]:
     """All ids by falling frequency over all documents, then by id; and the number of ids counted. At most one row an id comes to the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(vocab_size, np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                seen += np.bincount(np.frombuffer(ids.as_buffer(), dtype), minlength=vocab_size)
+            seen += np.bincount(_joined(batch.column(0)).view(dtype), minlength=vocab_size)
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(seen[at], pa.int64())], ["id", "n"])
 
@@ -148,7 +154,7 @@ def write_token_files(df: DataFrame, vocab_path: str, folder: str | None = None,
     folder = folder or new_path(spark, "token-files")
     enc = vocab.encoder(vocab_path)
     dtype, size = enc.dtype, max(enc.vocab_size, end_id + 1)
-    tokens = materialize(vocab.tokenize(df, vocab_path, end_id), "tokens")
+    tokens = materialize(vocab.tokenize(df, vocab_path, end_id), "tokens", compression="zstd")
     order, total = ranked_ids(tokens, size, dtype)
     fs, path = _filesystem(folder)
     fs.create_dir(path, recursive=True)
