@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import sharding, syncmers, token_files
+from weftline.llm import bpe_automaton, secret_scan, sharding, syncmers, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFr
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents: fixed formats, and literals that reach sensitive names."""
+    return secret_scan.secret_digests(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Minimax contiguous shards of all documents by text hash order, equal bytes."""
     placed = sharding.shard_documents(_table(spark, sf_dir, "documents", "doc_id", "text"), shards=24)
@@ -29,6 +34,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op5_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded by the merge automaton and decoded again."""
+    return bpe_automaton.round_trip_digests(_table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary("word_bpe_49k.json"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written as frequency-ranked token files and read back."""
     files = token_files.write_token_files(_table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary("byte_bpe_50k.json"))
@@ -41,7 +51,9 @@ def op7_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_secret_scan": op1_secret_scan,
     "op2_sharding": op2_sharding,
+    "op5_bpe_automaton": op5_bpe_automaton,
     "op6_token_files": op6_token_files,
     "op7_syncmers": op7_syncmers,
 }
