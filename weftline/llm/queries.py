@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe_automaton, secret_scan, sharding, syncmers, token_files
+from weftline.llm import bpe_automaton, packing, secret_scan, sharding, syncmers, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into windows of 1024 ids with their BM25 neighbours."""
+    return packing.pack_documents(_table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary("byte_bpe_50k.json"), with_ids=False)
+
+
 def op5_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded by the merge automaton and decoded again."""
     return bpe_automaton.round_trip_digests(_table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary("word_bpe_49k.json"))
@@ -53,6 +58,7 @@ def op7_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_sharding": op2_sharding,
+    "op3_packing": op3_packing,
     "op5_bpe_automaton": op5_bpe_automaton,
     "op6_token_files": op6_token_files,
     "op7_syncmers": op7_syncmers,

@@ -31,6 +31,12 @@ def byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+def byte_ranks(spec: dict) -> dict[bytes, int]:
+    """Bytes of each token of a byte-level vocabulary and its id."""
+    back = {s: b for b, s in byte_symbols().items()}
+    return {bytes(back[c] for c in token): i for token, i in spec["model"]["vocab"].items()}
+
+
 class _Known(dict):
     """Bytes of the ids of each pre-token met, filled in as it is asked."""
 
