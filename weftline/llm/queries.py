@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe_automaton, packing, secret_scan, sharding, syncmers, token_files
+from weftline.llm import bpe_automaton, near_dup, packing, secret_scan, sharding, syncmers, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +39,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary("byte_bpe_50k.json"), with_ids=False)
 
 
+def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents: five words a shingle, similarity 0.75 or more."""
+    return near_dup.near_duplicates(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op5_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded by the merge automaton and decoded again."""
     return bpe_automaton.round_trip_digests(_table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary("word_bpe_49k.json"))
@@ -59,9 +64,34 @@ QUERIES: dict[str, Query] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_sharding": op2_sharding,
     "op3_packing": op3_packing,
+    "op4_near_dup": op4_near_dup,
     "op5_bpe_automaton": op5_bpe_automaton,
     "op6_token_files": op6_token_files,
     "op7_syncmers": op7_syncmers,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Every pair that shares a shingle, by an inverted index; then the smallest id reachable.
+NEAR_DUP_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) END AS s
+  FROM words
+), shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b ON a.x = b.x AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT a AS doc_id, b AS other FROM pairs
+  UNION SELECT r.doc_id, p.b FROM reach r JOIN pairs p ON r.other = p.a
+), components AS (SELECT doc_id, min(other) AS low FROM reach GROUP BY doc_id)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(c.low, s.doc_id)) AS component_id,
+  s.doc_id = least(s.doc_id, coalesce(c.low, s.doc_id)) AS kept
+FROM sets s LEFT JOIN components c ON s.doc_id = c.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_near_dup": NEAR_DUP_SQL,
+}
