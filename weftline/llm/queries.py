@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe_automaton, near_dup, packing, secret_scan, sharding, syncmers, token_files
+from weftline.llm import bpe_automaton, embedding_dedup, near_dup, packing, secret_scan, sharding, syncmers, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,6 +60,11 @@ def op7_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.edited_fingerprints(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups of all vectors at a cosine of 0.95 or more."""
+    return embedding_dedup.near_vectors(_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_sharding": op2_sharding,
@@ -68,6 +73,7 @@ QUERIES: dict[str, Query] = {
     "op5_bpe_automaton": op5_bpe_automaton,
     "op6_token_files": op6_token_files,
     "op7_syncmers": op7_syncmers,
+    "op8_embedding_dedup": op8_embedding_dedup,
 }
 
 #: Every pair that shares a shingle, by an inverted index; then the smallest id reachable.
