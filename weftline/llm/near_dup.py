@@ -5,19 +5,22 @@ Jaccard similarity is at least 0.75; components of links are the groups.
 
 1. Documents with the same word sequence form a class; classes are compared, not copies.
 2. A class has 128 minwise tokens: the smallest shingle hash in each of 128 equal parts of
-   the hash range (an empty part borrows from another one). Bytes of them make a sketch
-   from which a pair's similarity is estimated.
+   the hash range (an empty part borrows from another one). A byte of that in each of 256
+   parts makes a sketch from which a pair's similarity is estimated.
 3. Each of ``TREES`` independent trees branches its nodes by chosen tokens: in every node
    each of the 128 places is chosen with probability 1 / (0.75 * 128), and classes with the
    same token at a chosen place form a child. Branching ends at ``LEAF`` classes.
 4. In a leaf all pairs' estimates are compared. Pairs that cannot be links are dropped. Of
-   the others a leaf emits spanning forests, not all pairs: what is already joined needs no
-   further link to find the groups.
-5. Emitted pairs are confirmed on full sets. If a pair fails, the leaves that relied on it
-   emit again, with the groups found so far and without the pairs tried, until nothing is
-   left to try; so no pair of a leaf that could join two groups goes untested.
-6. A node still larger than ``LEAF`` after ``DEPTH`` levels is cut into blocks; blocks with
-   classes of different groups are compared block by block.
+   the others a leaf emits spanning forests, not all pairs. Their components over all
+   leaves are clusters: no link leaves one.
+5. A cluster of at most ``CLUSTER`` classes is brought together with its full sets; pairs
+   that can be links are tested there, likeliest first, unless links found have joined them.
+6. For the leaves of larger clusters, emitted pairs are confirmed by joins with the full
+   sets. If a pair fails, the leaves that relied on it emit again, with the groups found so
+   far and without the pairs tried, until nothing is left to try. So no pair of a leaf that
+   could join two groups goes untested, and no task holds a cluster that grows.
+7. A node still larger than ``LEAF`` after ``DEPTH`` levels is cut into blocks; blocks with
+   classes of different groups are compared block by block, as leaves of step 6.
 
 Rules: null texts are empty; documents without words are linked with nothing, equal or not;
 documents of fewer than five words have one shingle; repeated rows are documents of their
@@ -39,10 +42,13 @@ from weftline.plans.scratch import materialize, release
 
 WORDS, PERCENT = 5, 75
 PLACES, TREES, LEAF, DEPTH = 128, 10, 256, 6
+SKETCH, CLUSTER = 256, 1024
 #: Estimates from which a pair counts as joined while a leaf looks for further pairs, and standard deviations below the threshold at which a pair is dropped.
-SURE, DEVIATIONS = 0.85, 4.5
-#: Edge-disjoint forests of unsure pairs that a leaf emits in one round.
-FORESTS = 3
+SURE, DEVIATIONS = 0.85, 4.0
+#: Edge-disjoint forests of unsure pairs that a leaf emits in the first round, and how many times as many in each round after.
+FORESTS, MORE_FORESTS = 3, 8
+#: Bits of the filter that spares most texts without a candidate the way to the full sets.
+FILTER_BITS, BITMAP_BITS = 1 << 25, 1 << 15
 #: Bytes of a shingle hash in a full set.
 HASH_BYTES = 5
 _WORD_CACHE = 500_000
@@ -88,24 +94,24 @@ def shingle_set(words: list[bytes]) -> np.ndarray:
 
 
 def minwise_tokens(hashes: np.ndarray) -> np.ndarray:
-    """32 bits of the smallest hash in each of PLACES equal parts of the range; 0 for an empty part."""
-    edges = np.arange(PLACES, dtype=np.uint64) << np.uint64(64 - 7)
-    at = np.searchsorted(hashes, edges)
+    """32 bits of the smallest hash in each of SKETCH equal parts of the range; 0 for an empty part."""
+    shift, parts = np.uint64(64 - (SKETCH - 1).bit_length()), np.arange(SKETCH, dtype=np.uint64)
+    at = np.searchsorted(hashes, parts << shift)
     value = hashes[np.minimum(at, len(hashes) - 1)]
-    there = (at < len(hashes)) & (value >> np.uint64(64 - 7) == np.arange(PLACES, dtype=np.uint64))
+    there = (at < len(hashes)) & (value >> shift == parts)
     return np.where(there, (mixed(value) >> np.uint64(32)) | np.uint64(1), np.uint64(0)).astype(np.uint32)
 
 
 def densified(tokens: np.ndarray) -> np.ndarray:
     """Tokens with each empty place filled from the first full one of its own fixed series of places."""
-    out, turn = tokens.copy(), 0
-    empty = out == 0
-    order = np.arange(PLACES)
-    while empty.any():
+    out, turn, order = tokens.copy(), 0, np.arange(PLACES, dtype=np.uint64)
+    rows = np.flatnonzero((tokens == 0).any(1) & (tokens > 0).any(1))
+    while len(rows):
         turn += 1
-        other = (mixed(order.astype(np.uint64) * np.uint64(977) + np.uint64(turn)) % np.uint64(PLACES)).astype(int)
-        out = np.where(empty, tokens[:, other], out)
-        empty = out == 0
+        other = (mixed(order * np.uint64(977) + np.uint64(turn)) % np.uint64(PLACES)).astype(int)
+        part = out[rows]
+        out[rows] = part = np.where(part == 0, tokens[rows][:, other], part)
+        rows = rows[(part == 0).any(1)]
     return out
 
 
@@ -124,7 +130,7 @@ def _documents(df: DataFrame) -> DataFrame:
                     continue
                 keys.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
                 own = minwise_tokens(hashes)
-                tokens.append(own.tobytes())
+                tokens.append(np.where(own[::2] > 0, own[::2], own[1::2]).tobytes())  # the smallest of two parts together
                 sketches.append(np.where(own > 0, (own >> np.uint32(8)) % np.uint32(255) + np.uint32(1), np.uint32(0)).astype(np.uint8).tobytes())
             columns = [batch.column(0), pa.array(sizes, pa.int64()), *(pa.array(c, pa.binary()) for c in (keys, tokens, sketches))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "key", "tokens", "sketch"])
@@ -206,7 +212,8 @@ def similarities(sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         equal[part] = ((sketches[part, None] == sketches[None]) & full[part, None]).sum(2)
         either[part] = (full[part, None] | full[None]).sum(2)
     either = np.maximum(either, 1)
-    return equal / either, PERCENT / 100 - DEVIATIONS * np.sqrt(0.25 / either)
+    share = PERCENT / 100
+    return equal / either, share - DEVIATIONS * np.sqrt(share * (1 - share) / either)
 
 
 class _Union:
@@ -225,7 +232,7 @@ class _Union:
         return x != y
 
 
-def leaf_pairs(sketches: np.ndarray, groups: list[bytes | None], tried: set[tuple[int, int]]) -> tuple[list[tuple[int, int]], int]:
+def leaf_pairs(sketches: np.ndarray, groups: list[bytes | None], tried: set[tuple[int, int]], forests: int) -> tuple[list[tuple[int, int]], int]:
     """Pairs of a leaf to confirm next, best first, and the number of pairs left out because these may join them."""
     n = len(sketches)
     estimate, least = similarities(sketches)
@@ -233,7 +240,7 @@ def leaf_pairs(sketches: np.ndarray, groups: list[bytes | None], tried: set[tupl
     if not len(x):
         return [], 0
     order = np.argsort(-estimate[x, y], kind="stable")
-    sure, unsure = _Union(n), [_Union(n) for _ in range(FORESTS)]
+    sure, unsure = _Union(n), [_Union(n) for _ in range(forests)]
     first: dict[bytes, int] = {}
     for k, group in enumerate(groups):
         if group is not None:
@@ -258,7 +265,7 @@ def leaf_pairs(sketches: np.ndarray, groups: list[bytes | None], tried: set[tupl
     return emitted, left
 
 
-def _emit(leaves: DataFrame, classes: DataFrame, groups: DataFrame | None, tried: DataFrame | None) -> DataFrame:
+def _emit(leaves: DataFrame, classes: DataFrame, groups: DataFrame | None, tried: DataFrame | None, forests: int) -> DataFrame:
     """leaf, a, b (a < b) of the pairs to confirm, and ``left``, the pairs of the leaf that rely on them."""
     rows = leaves.join(classes.select("key", "sketch"), "key")
     group = F.lit(None).cast("binary").alias("group")
@@ -278,9 +285,9 @@ def _emit(leaves: DataFrame, classes: DataFrame, groups: DataFrame | None, tried
             out: list[tuple[int, bytes, bytes, int]] = []
             for leaf, members, tried_pairs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 place = {m["key"]: k for k, m in enumerate(members)}
-                sketches = np.frombuffer(b"".join(m["sketch"] for m in members), np.uint8).reshape(-1, PLACES)
+                sketches = np.frombuffer(b"".join(m["sketch"] for m in members), np.uint8).reshape(-1, SKETCH)
                 done = {tuple(sorted((place[t["a"]], place[t["b"]]))) for t in tried_pairs or []}
-                pairs, left = leaf_pairs(sketches, [m["group"] for m in members], done)
+                pairs, left = leaf_pairs(sketches, [m["group"] for m in members], done, forests)
                 out += [(leaf, members[a]["key"], members[b]["key"], left) for a, b in pairs]
             columns = [[r[k] for r in out] for k in range(4)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary(), pa.int64()), strict=True)], ["leaf", "a", "b", "left"])
@@ -301,27 +308,44 @@ def _full_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
                     sets.append(np.ascontiguousarray(shingle_set(words).astype(">u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES]).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], ["key", "hashes"])
 
-    return texts.join(wanted.hint("shuffle_hash"), "doc_id").select("text", "key").mapInArrow(run, "key binary, hashes binary").dropDuplicates(["key"])
+    likely = _perhaps_in(texts, wanted)
+    return likely.join(wanted.hint("shuffle_hash"), "doc_id").select("text", "key").mapInArrow(run, "key binary, hashes binary").dropDuplicates(["key"])
 
 
-def set_of(raw: bytes) -> np.ndarray:
+def _perhaps_in(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose id is wanted, and some others: a bitmap of FILTER_BITS bits of the ids' hashes, broadcast, drops most of the rest."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    bucket, bit = F.floor(place / BITMAP_BITS).alias("bucket"), F.pmod(place, F.lit(BITMAP_BITS)).cast("int")
+    maps = wanted.select(bucket, bit.alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    byte = F.conv(F.hex(F.substring(F.col("bits"), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = texts.withColumn("bucket", bucket).join(F.broadcast(maps), "bucket")
+    return marked.where(F.call_function("shiftright", byte, F.pmod(bit, F.lit(8))).bitwiseAND(1) == 1).select(*texts.columns)
+
+
+def set_of(raw: pa.Buffer | bytes) -> np.ndarray:
     """The sorted hashes of a full set."""
-    wide = np.zeros((len(raw) // HASH_BYTES, 8), np.uint8)
-    wide[:, 8 - HASH_BYTES :] = np.frombuffer(raw, np.uint8).reshape(-1, HASH_BYTES)
+    flat = np.frombuffer(raw, np.uint8)
+    wide = np.zeros((len(flat) // HASH_BYTES, 8), np.uint8)
+    wide[:, 8 - HASH_BYTES :] = flat.reshape(-1, HASH_BYTES)
     return wide.view(">u8").ravel().astype(np.uint64)
 
 
+def linked(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether 100 * common >= 75 * together holds for two sorted sets, neither empty."""
+    if len(x) > len(y):
+        x, y = y, x
+    if 100 * len(x) < PERCENT * len(y):
+        return False
+    common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * common >= PERCENT * (len(x) + len(y) - common)
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b and whether 100 * common >= 75 * together holds on the full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = set_of(a.as_py()), set_of(b.as_py())
-                at = np.searchsorted(y, x)
-                common = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                good.append(100 * common >= PERCENT * (len(x) + len(y) - common))
+            good = [linked(set_of(a.as_buffer()), set_of(b.as_buffer())) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good, pa.bool_())], ["a", "b", "linked"])
 
     one = sets.select(F.col("key").alias("a"), F.col("hashes").alias("hashes_a"))
@@ -339,30 +363,72 @@ def _cross_blocks(blocks: DataFrame, groups: DataFrame) -> DataFrame:
     return sides.join(blocks, ["node", "block"]).select("leaf", "key")
 
 
-def links(texts: DataFrame, classes: DataFrame) -> DataFrame:
-    """Confirmed links (a, b) between classes that join every group; texts has doc_id and text, classes key, rep, tokens and sketch."""
-    found, large = _trees(classes)
-    large = materialize(large, "large-nodes")
-    blocks = None if large.isEmpty() else _blocks(large)
-    leaves = materialize(found if blocks is None else found.union(blocks.select(F.xxhash64("node", "block").alias("leaf"), "key")), "leaves")
-    confirmed, groups, tried, crossed = None, None, None, blocks is None
+def _cluster_roots(members: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """``node`` and ``root`` of every class of the (cluster, key) rows that isn't its group's smallest, by exact tests within each cluster."""
+    rows = members.join(classes.select("key", "sketch"), "key").join(sets, "key")
+    whole = rows.groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("key", "sketch", "hashes"))).alias("members"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, roots = [], []
+            for cluster in batch.column(0):
+                rows = cluster.values
+                keys = rows.field("key").to_pylist()
+                sketches = np.frombuffer(b"".join(rows.field("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+                estimate, least = similarities(sketches)
+                x, y = np.nonzero(np.triu(estimate >= least, 1))
+                order = np.argsort(-estimate[x, y], kind="stable")
+                found, hashes = _Union(len(keys)), rows.field("hashes")
+                full = [set_of(h.as_buffer()) for h in hashes]
+                for a, b in zip(x[order].tolist(), y[order].tolist(), strict=True):
+                    if found.find(a) != found.find(b) and linked(full[a], full[b]):
+                        found.join(a, b)
+                for k, key in enumerate(keys):
+                    if (top := found.find(k)) != k:
+                        nodes.append(key)
+                        roots.append(keys[top])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(roots, pa.binary())], ["node", "root"])
+
+    return whole.select("members").mapInArrow(run, "node binary, root binary")
+
+
+def _joined_by_rounds(leaves: DataFrame, emitted: DataFrame, blocks: DataFrame | None, roots: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """``node`` and ``root`` of all groups: those of ``roots``, and those that the leaves and the blocks add."""
+    linked_pairs = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    results, forests, crossed = None, FORESTS, blocks is None
     while True:
-        emitted = materialize(_emit(leaves, classes, groups, tried), "emitted")
-        pairs = emitted.select("a", "b").distinct()
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes.select("key", F.col("rep").alias("doc_id")), "key")
-        sets = materialize(_full_sets(texts, wanted), "sets")
-        results = materialize(_confirmed(pairs, sets), "confirmed")
-        release(sets)
-        confirmed = results if confirmed is None else materialize(confirmed.union(results), "confirmed")
-        tried = confirmed.where("not linked")
-        relied = emitted.where("left > 0").join(results.where("not linked"), ["a", "b"], "left_semi").select("leaf").distinct()
+        now = materialize(_confirmed(emitted.select("a", "b").distinct(), sets), "confirmed")
+        results = now if results is None else materialize(results.union(now), "confirmed")
+        relied = emitted.where("left > 0").join(now.where("not linked"), ["a", "b"], "left_semi").select("leaf").distinct()
         again = materialize(leaves.join(relied, "leaf", "left_semi"), "leaves")
+        groups = connected_components(linked_pairs.union(results.where("linked").select("a", "b")))
         if again.isEmpty() and crossed:
-            return confirmed.where("linked").select("a", "b")
-        groups = connected_components(confirmed.where("linked"))
+            return groups
         if not crossed:
             again, crossed = materialize(again.union(_cross_blocks(blocks, groups)), "leaves"), True
-        leaves = again
+        leaves, forests = again, forests * MORE_FORESTS
+        emitted = materialize(_emit(leaves, classes, groups, results.where("not linked"), forests), "emitted")
+
+
+def groups_of(texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """``node`` and ``root`` (smallest key of its group) of every class linked to a smaller one; texts has doc_id and text, classes key, rep, tokens and sketch."""
+    found, large = _trees(classes)
+    large = materialize(large, "large-nodes")
+    blocks = None if large.isEmpty() else _blocks(large)
+    leaves = materialize(found if blocks is None else found.union(blocks.select(F.xxhash64("node", "block").alias("leaf"), "key")), "leaves")
+    emitted = materialize(_emit(leaves, classes, None, None, FORESTS), "emitted")
+    apart = connected_components(emitted.select("a", "b").distinct())
+    members = apart.select(F.col("node").alias("key"), F.col("root").alias("cluster")).union(apart.select("root", "root").distinct())
+    members = materialize(members.join(members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")), "cluster"), "clusters")
+    needed = members.select("key") if blocks is None else members.select("key").union(blocks.select("key")).distinct()
+    sets = materialize(_full_sets(texts, needed.join(classes.select("key", F.col("rep").alias("doc_id")), "key")), "sets")
+    roots = materialize(_cluster_roots(members.where(f"n <= {CLUSTER}").select("cluster", "key"), classes, sets), "roots")
+    rest = members.where(f"n > {CLUSTER}").select("key")
+    if blocks is None and rest.isEmpty():
+        return roots
+    theirs = leaves.join(leaves.join(rest, "key", "left_semi").select("leaf").distinct(), "leaf", "left_semi")
+    first = emitted.join(theirs.select("leaf").distinct(), "leaf", "left_semi")
+    return _joined_by_rounds(theirs, first, blocks, roots, classes, sets)
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -373,7 +439,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("tokens").alias("tokens"), F.any_value("sketch").alias("sketch")),
         "near-dup-classes",
     )
-    roots = connected_components(links(texts, classes.where("rep is not null"))).select(F.col("node").alias("key"), "root")
+    roots = groups_of(texts, classes.where("rep is not null")).select(F.col("node").alias("key"), "root")
     members = roots.union(roots.select(F.col("root").alias("key"), "root").distinct())
     grouped = members.join(classes.select("key", "rep"), "key")
     names = grouped.groupBy("root").agg(F.min("rep").alias("component_id"))
