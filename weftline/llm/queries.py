@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe_automaton, embedding_dedup, near_dup, packing, secret_scan, sharding, syncmers, token_files
+from weftline.llm import bpe_automaton, embedding_dedup, near_dup, packing, secret_scan, sharding, syncmers, token_files, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,6 +65,11 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents, learned from the labels that may be learned from."""
+    return toxicity.toxicity_scores(_table(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_sharding": op2_sharding,
@@ -74,6 +79,7 @@ QUERIES: dict[str, Query] = {
     "op6_token_files": op6_token_files,
     "op7_syncmers": op7_syncmers,
     "op8_embedding_dedup": op8_embedding_dedup,
+    "op9_toxicity": op9_toxicity,
 }
 
 #: Every pair that shares a shingle, by an inverted index; then the smallest id reachable.
