@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe_automaton, embedding_dedup, near_dup, packing, secret_scan, sharding, syncmers, token_files, toxicity
+from weftline.llm import bpe_automaton, embedding_dedup, near_dup, packing, quality, secret_scan, sharding, syncmers, token_files, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -70,6 +70,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(_table(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "labels", "doc_id", "toxic"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learned from weak labels alone."""
+    return quality.quality_scores(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_sharding": op2_sharding,
@@ -80,6 +85,7 @@ QUERIES: dict[str, Query] = {
     "op7_syncmers": op7_syncmers,
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_toxicity": op9_toxicity,
+    "op10_quality": op10_quality,
 }
 
 #: Every pair that shares a shingle, by an inverted index; then the smallest id reachable.
