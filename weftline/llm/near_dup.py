@@ -9,18 +9,17 @@ Jaccard similarity is at least 0.75; components of links are the groups.
    parts makes a sketch from which a pair's similarity is estimated.
 3. Each of ``TREES`` independent trees branches its nodes by chosen tokens: in every node
    each of the 128 places is chosen with probability 1 / (0.75 * 128), and classes with the
-   same token at a chosen place form a child. Branching ends at ``LEAF`` classes.
+   same token at a chosen place form a child. Branching ends at ``LEAF`` classes, and in
+   larger nodes of which a sample shows most classes to be alike, which it would not part.
 4. In a leaf all pairs' estimates are compared. Pairs that cannot be links are dropped. Of
-   the others a leaf emits spanning forests, not all pairs. Their components over all
-   leaves are clusters: no link leaves one.
-5. A cluster of at most ``CLUSTER`` classes is brought together with its full sets; pairs
+   the others a leaf emits a spanning forest, not all pairs; a node that isn't parted is
+   joined as a whole. Components of these edges are clusters: no link found leaves one.
+5. A cluster of at most ``CLUSTER`` classes is brought together with its full sets. Pairs
    that can be links are tested there, likeliest first, unless links found have joined them.
-6. For the leaves of larger clusters, emitted pairs are confirmed by joins with the full
-   sets. If a pair fails, the leaves that relied on it emit again, with the groups found so
-   far and without the pairs tried, until nothing is left to try. So no pair of a leaf that
-   could join two groups goes untested, and no task holds a cluster that grows.
-7. A node still larger than ``LEAF`` after ``DEPTH`` levels is cut into blocks; blocks with
-   classes of different groups are compared block by block, as leaves of step 6.
+6. A larger cluster is cut into parts. Each part is tested like a small cluster, together
+   with a few classes that all parts get. Then every class outside the cluster's largest
+   group is tested, in blocks, with all parts: each pair of different groups is tested, and
+   no task holds more than a part and a block.
 
 Rules: null texts are empty; documents without words are linked with nothing, equal or not;
 documents of fewer than five words have one shingle; repeated rows are documents of their
@@ -41,12 +40,12 @@ from weftline.llm.components import connected_components
 from weftline.plans.scratch import materialize, release
 
 WORDS, PERCENT = 5, 75
-PLACES, TREES, LEAF, DEPTH = 128, 10, 256, 6
-SKETCH, CLUSTER = 256, 1024
-#: Estimates from which a pair counts as joined while a leaf looks for further pairs, and standard deviations below the threshold at which a pair is dropped.
-SURE, DEVIATIONS = 0.85, 4.0
-#: Edge-disjoint forests of unsure pairs that a leaf emits in the first round, and how many times as many in each round after.
-FORESTS, MORE_FORESTS = 3, 8
+PLACES, TREES, LEAF, DEPTH = 128, 10, 512, 6
+SKETCH, CLUSTER, PART, SHARED = 256, 1024, 512, 16
+#: Classes sampled in a large node, and the share of them with a like one that makes it alike.
+SAMPLE, ALIKE = 32, 0.5
+#: Standard deviations of an estimate below the threshold at which a pair is dropped.
+DEVIATIONS = 4.0
 #: Bits of the filter that spares most texts without a candidate the way to the full sets.
 FILTER_BITS, BITMAP_BITS = 1 << 25, 1 << 15
 #: Bytes of a shingle hash in a full set.
@@ -177,30 +176,44 @@ def _children(rows: DataFrame, root: bool) -> DataFrame:
     return rows.mapInArrow(run, "node long, key binary")
 
 
-def _leaf_key(*columns: str) -> Column:
-    return F.xxhash64(*columns).alias("leaf")
-
-
 def _trees(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Leaves (leaf, key), without leaves of the same members, and the rows (node, key, n) of nodes too large after DEPTH levels."""
+    """Leaves (leaf, key), without leaves of the same members, and edges (a, b) that join each node that isn't parted further."""
     level = materialize(_children(classes.select("key", "tokens"), root=True), "tree")
-    leaves, large = None, None
+    leaves, whole = [], []
     for depth in range(1, DEPTH + 1):
         sized = level.join(level.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "node")
-        members = sized.where(f"n <= {LEAF}").groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("members"))
-        leaves = members.select("members") if leaves is None else leaves.union(members.select("members"))
-        large = sized.where(f"n > {LEAF}")
-        if depth == DEPTH or large.isEmpty():
+        leaves.append(sized.where(f"n <= {LEAF}").groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("members")).select("members"))
+        large = materialize(sized.where(f"n > {LEAF}"), "large-nodes")
+        if large.isEmpty():
             break
-        level = materialize(_children(large.join(classes.select("key", "tokens"), "key").select("node", "key", "tokens"), root=False), "tree")
-    distinct = leaves.distinct().select(_leaf_key("members"), F.explode("members").alias("key"))
-    return distinct, large
+        alike = large.select("node").distinct() if depth == DEPTH else _alike(large, classes)
+        kept = materialize(large.join(alike, "node"), "alike-nodes")
+        whole.append(kept.join(kept.groupBy("node").agg(F.min("key").alias("a")), "node").where("a <> key").select("a", F.col("key").alias("b")).distinct())
+        level = materialize(_children(large.join(alike, "node", "left_anti").join(classes.select("key", "tokens"), "key").select("node", "key", "tokens"), root=False), "tree")
+    members = leaves[0]
+    for more in leaves[1:]:
+        members = members.union(more)
+    edges = None
+    for more in whole:
+        edges = more if edges is None else edges.union(more)
+    distinct = members.distinct().select(F.xxhash64("members").alias("leaf"), F.explode("members").alias("key"))
+    return distinct, edges if edges is not None else classes.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0)
+
+
+def _alike(large: DataFrame, classes: DataFrame) -> DataFrame:
+    """The nodes in a sample of which at least the share ALIKE of classes has another that may be a link."""
+    sample = large.where(F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("n") / SAMPLE)) == 0).join(classes.select("key", "sketch"), "key")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            alike = []
+            for sketches in batch.column(1):
+                estimate, least = similarities(np.frombuffer(b"".join(sketches.as_py()), np.uint8).reshape(-1, SKETCH))
+                np.fill_diagonal(estimate, -1)
+                alike.append(bool((estimate >= least).any(1).mean() >= ALIKE))
+            yield batch.select(["node"]).filter(pa.array(alike, pa.bool_()))
 
-def _blocks(large: DataFrame) -> DataFrame:
-    """(node, block, key) of nodes too large for a leaf, in blocks of about LEAF / 2 classes."""
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / (LEAF // 2)))
-    return large.select("node", F.pmod(F.xxhash64("key"), blocks).alias("block"), "key")
+    return sample.groupBy("node").agg(F.collect_list("sketch").alias("sketches")).mapInArrow(run, "node long")
 
 
 def similarities(sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -232,67 +245,29 @@ class _Union:
         return x != y
 
 
-def leaf_pairs(sketches: np.ndarray, groups: list[bytes | None], tried: set[tuple[int, int]], forests: int) -> tuple[list[tuple[int, int]], int]:
-    """Pairs of a leaf to confirm next, best first, and the number of pairs left out because these may join them."""
-    n = len(sketches)
+def likely_pairs(sketches: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs that may be links, by falling estimate."""
     estimate, least = similarities(sketches)
     x, y = np.nonzero(np.triu(estimate >= least, 1))
-    if not len(x):
-        return [], 0
     order = np.argsort(-estimate[x, y], kind="stable")
-    sure, unsure = _Union(n), [_Union(n) for _ in range(forests)]
-    first: dict[bytes, int] = {}
-    for k, group in enumerate(groups):
-        if group is not None:
-            for u in (sure, *unsure):
-                u.join(first.setdefault(group, k), k)
-    known = [sure.find(k) for k in range(n)]
-    emitted, left = [], 0
-    for a, b, s in zip(x[order].tolist(), y[order].tolist(), estimate[x, y][order].tolist(), strict=True):
-        if known[a] == known[b] or (a, b) in tried:
-            continue
-        if sure.find(a) == sure.find(b):
-            left += 1
-        elif s >= SURE:
-            sure.join(a, b)
-            for u in unsure:
-                u.join(a, b)
-            emitted.append((a, b))
-        elif any(u.join(a, b) for u in unsure):
-            emitted.append((a, b))
-        else:
-            left += 1
-    return emitted, left
-
-
-def _emit(leaves: DataFrame, classes: DataFrame, groups: DataFrame | None, tried: DataFrame | None, forests: int) -> DataFrame:
-    """leaf, a, b (a < b) of the pairs to confirm, and ``left``, the pairs of the leaf that rely on them."""
-    rows = leaves.join(classes.select("key", "sketch"), "key")
-    group = F.lit(None).cast("binary").alias("group")
-    if groups is not None:
-        rows = rows.join(groups.select(F.col("node").alias("key"), F.col("root").alias("group")), "key", "left")
-        rows = rows.withColumn("group", F.coalesce("group", "key"))  # a root is its own group's name; a class without a link is its own
-        group = F.col("group")
-    whole = rows.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("key", "sketch", group))).alias("members"))
-    if tried is not None:
-        both = leaves.select("leaf", F.col("key").alias("a")).join(tried.select("a", "b"), "a").join(leaves.select("leaf", F.col("key").alias("b")), ["leaf", "b"])
-        whole = whole.join(both.groupBy("leaf").agg(F.collect_list(F.struct("a", "b")).alias("tried")), "leaf", "left")
-    else:
-        whole = whole.withColumn("tried", F.lit(None).cast("array<struct<a: binary, b: binary>>"))
+    return list(zip(x[order].tolist(), y[order].tolist(), strict=True))
+
+
+def _forests(leaves: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges (a, b) of a spanning forest of each leaf's pairs that may be links."""
+    whole = leaves.join(classes.select("key", "sketch"), "key").groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("key", "sketch"))).alias("members"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple[int, bytes, bytes, int]] = []
-            for leaf, members, tried_pairs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                place = {m["key"]: k for k, m in enumerate(members)}
-                sketches = np.frombuffer(b"".join(m["sketch"] for m in members), np.uint8).reshape(-1, SKETCH)
-                done = {tuple(sorted((place[t["a"]], place[t["b"]]))) for t in tried_pairs or []}
-                pairs, left = leaf_pairs(sketches, [m["group"] for m in members], done, forests)
-                out += [(leaf, members[a]["key"], members[b]["key"], left) for a, b in pairs]
-            columns = [[r[k] for r in out] for k in range(4)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary(), pa.int64()), strict=True)], ["leaf", "a", "b", "left"])
+            edges: list[tuple[bytes, bytes]] = []
+            for leaf in batch.column(0):
+                keys = leaf.values.field("key").to_pylist()
+                joined = _Union(len(keys))
+                pairs = likely_pairs(np.frombuffer(b"".join(leaf.values.field("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH))
+                edges += [(keys[a], keys[b]) for a, b in pairs if joined.join(a, b)]
+            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.binary()) for k in (0, 1)], ["a", "b"])
 
-    return whole.select("leaf", "members", "tried").mapInArrow(run, "leaf long, a binary, b binary, left long")
+    return whole.select("members").mapInArrow(run, "a binary, b binary")
 
 
 def _full_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -340,95 +315,76 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * common >= PERCENT * (len(x) + len(y) - common)
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b and whether 100 * common >= 75 * together holds on the full sets."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = [linked(set_of(a.as_buffer()), set_of(b.as_buffer())) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good, pa.bool_())], ["a", "b", "linked"])
-
-    one = sets.select(F.col("key").alias("a"), F.col("hashes").alias("hashes_a"))
-    other = sets.select(F.col("key").alias("b"), F.col("hashes").alias("hashes_b"))
-    return pairs.join(one, "a").join(other, "b").select("a", "b", "hashes_a", "hashes_b").mapInArrow(run, "a binary, b binary, linked boolean")
-
-
-def _cross_blocks(blocks: DataFrame, groups: DataFrame) -> DataFrame:
-    """Leaves (leaf, key) of two blocks of a node each, unless all classes of both are in one group."""
-    named = blocks.join(groups.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    spread = named.groupBy("node", "block").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    other = spread.select("node", F.col("block").alias("block_2"), F.col("low").alias("low_2"), F.col("high").alias("high_2"))
-    apart = spread.join(other, "node").where("block < block_2 and not (low = high and low_2 = high_2 and low = low_2)")
-    sides = apart.select(F.xxhash64("node", "block", "block_2").alias("leaf"), "node", F.explode(F.array("block", "block_2")).alias("block"))
-    return sides.join(blocks, ["node", "block"]).select("leaf", "key")
-
-
-def _cluster_roots(members: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
-    """``node`` and ``root`` of every class of the (cluster, key) rows that isn't its group's smallest, by exact tests within each cluster."""
+def _tested(members: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) that span the groups of each task, by exact tests; members has task, key and group (what is known to be joined, or null)."""
     rows = members.join(classes.select("key", "sketch"), "key").join(sets, "key")
-    whole = rows.groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("key", "sketch", "hashes"))).alias("members"))
+    whole = rows.groupBy("task").agg(F.sort_array(F.collect_list(F.struct("key", "sketch", "hashes", "group"))).alias("members"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, roots = [], []
-            for cluster in batch.column(0):
-                rows = cluster.values
-                keys = rows.field("key").to_pylist()
-                sketches = np.frombuffer(b"".join(rows.field("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
-                estimate, least = similarities(sketches)
-                x, y = np.nonzero(np.triu(estimate >= least, 1))
-                order = np.argsort(-estimate[x, y], kind="stable")
-                found, hashes = _Union(len(keys)), rows.field("hashes")
-                full = [set_of(h.as_buffer()) for h in hashes]
-                for a, b in zip(x[order].tolist(), y[order].tolist(), strict=True):
-                    if found.find(a) != found.find(b) and linked(full[a], full[b]):
-                        found.join(a, b)
-                for k, key in enumerate(keys):
-                    if (top := found.find(k)) != k:
-                        nodes.append(key)
-                        roots.append(keys[top])
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(roots, pa.binary())], ["node", "root"])
-
-    return whole.select("members").mapInArrow(run, "node binary, root binary")
-
-
-def _joined_by_rounds(leaves: DataFrame, emitted: DataFrame, blocks: DataFrame | None, roots: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
-    """``node`` and ``root`` of all groups: those of ``roots``, and those that the leaves and the blocks add."""
-    linked_pairs = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    results, forests, crossed = None, FORESTS, blocks is None
-    while True:
-        now = materialize(_confirmed(emitted.select("a", "b").distinct(), sets), "confirmed")
-        results = now if results is None else materialize(results.union(now), "confirmed")
-        relied = emitted.where("left > 0").join(now.where("not linked"), ["a", "b"], "left_semi").select("leaf").distinct()
-        again = materialize(leaves.join(relied, "leaf", "left_semi"), "leaves")
-        groups = connected_components(linked_pairs.union(results.where("linked").select("a", "b")))
-        if again.isEmpty() and crossed:
-            return groups
-        if not crossed:
-            again, crossed = materialize(again.union(_cross_blocks(blocks, groups)), "leaves"), True
-        leaves, forests = again, forests * MORE_FORESTS
-        emitted = materialize(_emit(leaves, classes, groups, results.where("not linked"), forests), "emitted")
+            links: list[tuple[bytes, bytes]] = []
+            for task in batch.column(0):
+                rows = task.values
+                keys, hashes = rows.field("key").to_pylist(), rows.field("hashes")
+                joined, first, full = _Union(len(keys)), {}, {}
+                for k, group in enumerate(rows.field("group").to_pylist()):
+                    if group is not None:
+                        joined.join(first.setdefault(group, k), k)
+                for a, b in likely_pairs(np.frombuffer(b"".join(rows.field("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)):
+                    if joined.find(a) == joined.find(b):
+                        continue
+                    for k in (a, b):
+                        if k not in full:
+                            full[k] = set_of(hashes[k].as_buffer())
+                    if linked(full[a], full[b]):
+                        joined.join(a, b)
+                        links.append((keys[a], keys[b]))
+            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in links], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+    return whole.select("members").mapInArrow(run, "a binary, b binary")
+
+
+def _part_of(size: int, salt: int) -> Column:
+    """A part by the key's hash, of about ``size`` of the n rows."""
+    return F.pmod(F.xxhash64(F.lit(salt), "key"), F.ceil(F.col("n") / size))
+
+
+def _large_clusters(members: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) that span the groups of clusters too large for one task; members has cluster, key and n."""
+    no_group = F.lit(None).cast("binary").alias("group")
+    parts = members.select("cluster", "key", _part_of(PART, 1).alias("part"))
+    shared = members.where(_part_of(SHARED, 2) == 0).select("cluster", "key", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / PART) - 1)).alias("part"))
+    within = parts.union(shared).distinct().select(F.xxhash64("cluster", "part").alias("task"), "key", no_group)
+    links = materialize(_tested(within, classes, sets), "part-links")
+    groups = connected_components(links)
+    named = materialize(parts.join(groups.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("group", F.coalesce("root", "key")).drop("root"), "grouped")
+    sizes = named.groupBy("cluster", "group").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.groupBy("cluster").agg(F.max_by("group", F.struct("n", "group")).alias("group"))
+    outside = materialize(named.join(largest, ["cluster", "group"], "left_anti"), "outside")
+    if outside.isEmpty():
+        return links
+    counted = outside.join(outside.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")), "cluster").select("cluster", "key", "group", _part_of(PART, 3).alias("block"))
+    blocks = counted.select("cluster", "block").distinct()
+    tasks = named.select("cluster", "part").distinct().join(blocks, "cluster")
+    task = F.xxhash64("cluster", "part", "block").alias("task")
+    rows = named.join(blocks, "cluster").select(task, "key", "group").union(tasks.join(counted, ["cluster", "block"]).select(task, "key", "group")).distinct()
+    return links.union(materialize(_tested(rows, classes, sets), "block-links"))
 
 
 def groups_of(texts: DataFrame, classes: DataFrame) -> DataFrame:
     """``node`` and ``root`` (smallest key of its group) of every class linked to a smaller one; texts has doc_id and text, classes key, rep, tokens and sketch."""
-    found, large = _trees(classes)
-    large = materialize(large, "large-nodes")
-    blocks = None if large.isEmpty() else _blocks(large)
-    leaves = materialize(found if blocks is None else found.union(blocks.select(F.xxhash64("node", "block").alias("leaf"), "key")), "leaves")
-    emitted = materialize(_emit(leaves, classes, None, None, FORESTS), "emitted")
-    apart = connected_components(emitted.select("a", "b").distinct())
+    leaves, whole = _trees(classes)
+    edges = materialize(_forests(leaves, classes).union(whole).distinct(), "cluster-edges")
+    apart = connected_components(edges)
     members = apart.select(F.col("node").alias("key"), F.col("root").alias("cluster")).union(apart.select("root", "root").distinct())
     members = materialize(members.join(members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")), "cluster"), "clusters")
-    needed = members.select("key") if blocks is None else members.select("key").union(blocks.select("key")).distinct()
-    sets = materialize(_full_sets(texts, needed.join(classes.select("key", F.col("rep").alias("doc_id")), "key")), "sets")
-    roots = materialize(_cluster_roots(members.where(f"n <= {CLUSTER}").select("cluster", "key"), classes, sets), "roots")
-    rest = members.where(f"n > {CLUSTER}").select("key")
-    if blocks is None and rest.isEmpty():
-        return roots
-    theirs = leaves.join(leaves.join(rest, "key", "left_semi").select("leaf").distinct(), "leaf", "left_semi")
-    first = emitted.join(theirs.select("leaf").distinct(), "leaf", "left_semi")
-    return _joined_by_rounds(theirs, first, blocks, roots, classes, sets)
+    sets = materialize(_full_sets(texts, members.select("key").join(classes.select("key", F.col("rep").alias("doc_id")), "key")), "sets")
+    small = members.where(f"n <= {CLUSTER}").select(F.col("cluster").alias("task"), "key", F.lit(None).cast("binary").alias("group"))
+    links = _tested(small, classes, sets)
+    large = members.where(f"n > {CLUSTER}")
+    if not large.isEmpty():
+        links = links.union(_large_clusters(large, classes, sets))
+    return connected_components(links)
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
