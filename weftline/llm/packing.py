@@ -156,13 +156,16 @@ def _tokens_with_terms(df: DataFrame, vocab_path: str, end_id: int) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = vocab.encoder(vocab_path)
         end = np.array([end_id], enc.dtype).tobytes()
-        frequency = np.zeros(size, np.int64)
+        frequency, seen = np.zeros(size, np.int64), np.zeros(size, bool)
         names = ["doc_id", "n_tokens", "term", "ids", "kind"]
         for batch in batches:
             ids, terms = [], []
             for text in batch.column(1):
                 ids.append(enc.encode(text.as_py() or "") + end)
-                distinct = np.unique(np.frombuffer(ids[-1], enc.dtype))
+                own = np.frombuffer(ids[-1], enc.dtype)
+                seen[own] = True
+                distinct = np.flatnonzero(seen)
+                seen[own] = False
                 frequency[distinct] += 1
                 terms.append(int(distinct[-1]))
             counts = pa.array([len(x) // enc.dtype.itemsize for x in ids], pa.int64())
