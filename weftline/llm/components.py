@@ -2,7 +2,7 @@
 
 Each step replaces edges by edges to smaller nodes of the same component, until every node
 points at its component's smallest. Steps are joins and grouped minima over the edge table;
-nothing of it comes to the driver but whether it has settled.
+only its size and a hash come to the driver, to tell whether it has settled.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Connect each node's larger neighbours to the smallest of the node and its neighbours."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
-    return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
+    return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -27,12 +27,21 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(low.select("u", F.col("low").alias("v"))).distinct()
 
 
+def _mark(edges: DataFrame) -> tuple[int, int]:
+    """A number of edges and a hash of all, which stay once no edge moves."""
+    row = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).first()
+    return row["n"], row["h"] or 0
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node`` and ``root`` (smallest node of its component) of every node with an edge, but for the roots themselves."""
-    directed = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    state = materialize(directed, "edges")
-    while not state.join(state.select(F.col("u").alias("v")), "v", "left_semi").isEmpty() or not state.groupBy("u").count().where("count > 1").isEmpty():
+    state = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
+    before, settled = None, False
+    while not settled:
         after = materialize(_small_star(_large_star(state)), "edges")
-        release(state)
-        state = after
+        if before is not None:
+            release(state)
+        mark = _mark(after)
+        settled = mark == before or mark[0] == 0
+        state, before = after, mark
     return state.select(F.col("u").alias("node"), F.col("v").alias("root"))

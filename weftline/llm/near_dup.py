@@ -4,11 +4,11 @@ A document's set is its distinct 5-word shingles. Two documents are linked if th
 Jaccard similarity is at least 0.75; components of links are the groups.
 
 1. Documents with the same word sequence form a class; classes are compared, not copies.
-2. A class has 128 minwise tokens: the smallest shingle hash in each of 128 equal parts of
+2. A class has 64 minwise tokens: the smallest shingle hash in each of 64 equal parts of
    the hash range (an empty part borrows from another one). A byte of that in each of 256
    parts makes a sketch from which a pair's similarity is estimated.
 3. Each of ``TREES`` independent trees branches its nodes by chosen tokens: in every node
-   each of the 128 places is chosen with probability 1 / (0.75 * 128), and classes with the
+   each of the 64 places is chosen with probability 1 / (0.75 * 64), and classes with the
    same token at a chosen place form a child. Branching ends at ``LEAF`` classes, and in
    larger nodes of which a sample shows most classes to be alike, which it would not part.
 4. In a leaf all pairs' estimates are compared. Pairs that cannot be links are dropped. Of
@@ -40,7 +40,7 @@ from weftline.llm.components import connected_components
 from weftline.plans.scratch import materialize, release
 
 WORDS, PERCENT = 5, 75
-PLACES, TREES, LEAF, DEPTH = 128, 10, 512, 6
+PLACES, TREES, LEAF, DEPTH = 64, 10, 512, 4
 SKETCH, CLUSTER, PART, SHARED = 256, 1024, 512, 16
 #: Classes sampled in a large node, and the share of them with a like one that makes it alike.
 SAMPLE, ALIKE = 32, 0.5
@@ -101,6 +101,11 @@ def minwise_tokens(hashes: np.ndarray) -> np.ndarray:
     return np.where(there, (mixed(value) >> np.uint64(32)) | np.uint64(1), np.uint64(0)).astype(np.uint32)
 
 
+def sketch_of(tokens: np.ndarray) -> bytes:
+    """A byte of each token, 0 for an empty part."""
+    return np.where(tokens > 0, (tokens >> np.uint32(8)) % np.uint32(255) + np.uint32(1), np.uint32(0)).astype(np.uint8).tobytes()
+
+
 def densified(tokens: np.ndarray) -> np.ndarray:
     """Tokens with each empty place filled from the first full one of its own fixed series of places."""
     out, turn, order = tokens.copy(), 0, np.arange(PLACES, dtype=np.uint64)
@@ -129,8 +134,9 @@ def _documents(df: DataFrame) -> DataFrame:
                     continue
                 keys.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
                 own = minwise_tokens(hashes)
-                tokens.append(np.where(own[::2] > 0, own[::2], own[1::2]).tobytes())  # the smallest of two parts together
-                sketches.append(np.where(own > 0, (own >> np.uint32(8)) % np.uint32(255) + np.uint32(1), np.uint32(0)).astype(np.uint8).tobytes())
+                parts = own.reshape(PLACES, -1)
+                tokens.append(parts[np.arange(PLACES), (parts > 0).argmax(1)].tobytes())  # of the first full part, so the smallest of these parts
+                sketches.append(sketch_of(own))
             columns = [batch.column(0), pa.array(sizes, pa.int64()), *(pa.array(c, pa.binary()) for c in (keys, tokens, sketches))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "key", "tokens", "sketch"])
 
@@ -244,6 +250,10 @@ class _Union:
         self.up[max(x, y)] = min(x, y)
         return x != y
 
+    def stars(self, keys: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """Each member with the first of its group, where that is another."""
+        return [(key, keys[top]) for k, key in enumerate(keys) if (top := self.find(k)) != k]
+
 
 def likely_pairs(sketches: np.ndarray) -> list[tuple[int, int]]:
     """Pairs that may be links, by falling estimate."""
@@ -254,7 +264,7 @@ def likely_pairs(sketches: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _forests(leaves: DataFrame, classes: DataFrame) -> DataFrame:
-    """Edges (a, b) of a spanning forest of each leaf's pairs that may be links."""
+    """Edges (a, b) that join each leaf's pairs that may be links, from each class to the smallest that it is joined with."""
     whole = leaves.join(classes.select("key", "sketch"), "key").groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("key", "sketch"))).alias("members"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,27 +274,31 @@ def _forests(leaves: DataFrame, classes: DataFrame) -> DataFrame:
                 keys = leaf.values.field("key").to_pylist()
                 joined = _Union(len(keys))
                 pairs = likely_pairs(np.frombuffer(b"".join(leaf.values.field("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH))
-                edges += [(keys[a], keys[b]) for a, b in pairs if joined.join(a, b)]
+                for a, b in pairs:
+                    joined.join(a, b)
+                edges += joined.stars(keys)
             yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.binary()) for k in (0, 1)], ["a", "b"])
 
     return whole.select("members").mapInArrow(run, "a binary, b binary")
 
 
 def _full_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``key`` and ``hashes`` (sorted shingle hashes, HASH_BYTES each) of the wanted (doc_id, key) rows."""
+    """``key``, ``hashes`` (sorted shingle hashes, HASH_BYTES each) and sketch of the wanted (doc_id, key) rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sets = [], []
+            keys, sets, sketches = [], [], []
             for text, key in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 words = words_of(text.as_py())
                 if hashlib.blake2b(b" ".join(words), digest_size=16).digest() == key:  # else another row of that id
                     keys.append(key)
-                    sets.append(np.ascontiguousarray(shingle_set(words).astype(">u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES]).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], ["key", "hashes"])
+                    hashes = shingle_set(words)
+                    sets.append(np.ascontiguousarray(hashes.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES]).tobytes())
+                    sketches.append(sketch_of(minwise_tokens(hashes)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in (keys, sets, sketches)], ["key", "hashes", "sketch"])
 
     likely = _perhaps_in(texts, wanted)
-    return likely.join(wanted.hint("shuffle_hash"), "doc_id").select("text", "key").mapInArrow(run, "key binary, hashes binary").dropDuplicates(["key"])
+    return likely.join(wanted.hint("shuffle_hash"), "doc_id").select("text", "key").mapInArrow(run, "key binary, hashes binary, sketch binary").dropDuplicates(["key"])
 
 
 def _perhaps_in(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -315,9 +329,9 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * common >= PERCENT * (len(x) + len(y) - common)
 
 
-def _tested(members: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) that span the groups of each task, by exact tests; members has task, key and group (what is known to be joined, or null)."""
-    rows = members.join(classes.select("key", "sketch"), "key").join(sets, "key")
+def _tested(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Edges (a, b) from each class to the smallest of its group in each task, by exact tests of links; members has task, key and group (what is known to be joined, or null)."""
+    rows = members.join(sets, "key")
     whole = rows.groupBy("task").agg(F.sort_array(F.collect_list(F.struct("key", "sketch", "hashes", "group"))).alias("members"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,7 +352,7 @@ def _tested(members: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFram
                             full[k] = set_of(hashes[k].as_buffer())
                     if linked(full[a], full[b]):
                         joined.join(a, b)
-                        links.append((keys[a], keys[b]))
+                links += joined.stars(keys)
             yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in links], pa.binary()) for k in (0, 1)], ["a", "b"])
 
     return whole.select("members").mapInArrow(run, "a binary, b binary")
@@ -349,13 +363,13 @@ def _part_of(size: int, salt: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(salt), "key"), F.ceil(F.col("n") / size))
 
 
-def _large_clusters(members: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) that span the groups of clusters too large for one task; members has cluster, key and n."""
+def _large_clusters(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Edges (a, b) that span the groups of clusters too large for one task; members has cluster, key and n."""
     no_group = F.lit(None).cast("binary").alias("group")
     parts = members.select("cluster", "key", _part_of(PART, 1).alias("part"))
     shared = members.where(_part_of(SHARED, 2) == 0).select("cluster", "key", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / PART) - 1)).alias("part"))
     within = parts.union(shared).distinct().select(F.xxhash64("cluster", "part").alias("task"), "key", no_group)
-    links = materialize(_tested(within, classes, sets), "part-links")
+    links = materialize(_tested(within, sets), "part-links")
     groups = connected_components(links)
     named = materialize(parts.join(groups.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("group", F.coalesce("root", "key")).drop("root"), "grouped")
     sizes = named.groupBy("cluster", "group").agg(F.count(F.lit(1)).alias("n"))
@@ -368,7 +382,7 @@ def _large_clusters(members: DataFrame, classes: DataFrame, sets: DataFrame) ->
     tasks = named.select("cluster", "part").distinct().join(blocks, "cluster")
     task = F.xxhash64("cluster", "part", "block").alias("task")
     rows = named.join(blocks, "cluster").select(task, "key", "group").union(tasks.join(counted, ["cluster", "block"]).select(task, "key", "group")).distinct()
-    return links.union(materialize(_tested(rows, classes, sets), "block-links"))
+    return links.union(materialize(_tested(rows, sets), "block-links"))
 
 
 def groups_of(texts: DataFrame, classes: DataFrame) -> DataFrame:
@@ -380,11 +394,11 @@ def groups_of(texts: DataFrame, classes: DataFrame) -> DataFrame:
     members = materialize(members.join(members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")), "cluster"), "clusters")
     sets = materialize(_full_sets(texts, members.select("key").join(classes.select("key", F.col("rep").alias("doc_id")), "key")), "sets")
     small = members.where(f"n <= {CLUSTER}").select(F.col("cluster").alias("task"), "key", F.lit(None).cast("binary").alias("group"))
-    links = _tested(small, classes, sets)
+    groups = materialize(_tested(small, sets), "groups").select(F.col("a").alias("node"), F.col("b").alias("root"))
     large = members.where(f"n > {CLUSTER}")
-    if not large.isEmpty():
-        links = links.union(_large_clusters(large, classes, sets))
-    return connected_components(links)
+    if large.isEmpty():
+        return groups
+    return groups.union(connected_components(_large_clusters(large, sets)))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
