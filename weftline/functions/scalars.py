@@ -67,7 +67,7 @@ def parsed_number(text: Column) -> Column:
 
 def shown_number(column: Column, precision: int = DEFAULT_PRECISION) -> Column:
     """A float with fixed digits, ``-`` for null."""
-    return F.coalesce(F.format_string(f"%.{precision}f", column), F.lit("-"))
+    return F.when(column.isNull(), "-").otherwise(F.format_string(f"%.{precision}f", column.cast("double")))
 
 
 def rounded(column: Column, kind: T.DataType, precision: int = DEFAULT_PRECISION) -> Column:
@@ -195,10 +195,21 @@ def short_hash(value: Column) -> Column:
     return F.coalesce(F.left(value, F.lit(8)), F.lit("-"))
 
 
+def _tenths(ms: Column) -> Column:
+    """Tenths of a second of less than a minute, rounded as the double ms / 1000 is: ties go by its exact binary value."""
+    whole, rest = F.floor(ms / 100).cast("bigint"), ms % 100
+    scale = 1 << 52  # the double times 2**52 is a whole number below 2**58
+    exact = ((ms / 1000).cast("double") * F.lit(float(scale))).cast("bigint").cast("decimal(20,0)") * F.lit(20).cast("decimal(3,0)")
+    tie = (whole * 2 + 1).cast("decimal(10,0)") * F.lit(str(scale)).cast("decimal(17,0)")
+    up = (rest > 50) | ((rest == 50) & ((exact > tie) | ((exact == tie) & (whole % 2 == 1))))
+    return whole + up.cast("int")
+
+
 def elapsed(ms: Column) -> Column:
     """A duration as it is shown: in ms, in seconds, or in minutes and seconds."""
+    tenths = _tenths(F.least(ms, F.lit(59999)))
     minutes = F.format_string("%dm%.0fs", F.floor(ms / 60000).cast("bigint"), F.bround((ms % 60000) / 1000, 0).cast("double"))
-    return F.when(ms < 1000, F.format_string("%dms", ms.cast("bigint"))).when(ms < 60000, F.format_string("%.1fs", (ms / 1000).cast("double"))).otherwise(minutes)
+    return F.when(ms < 1000, F.format_string("%dms", ms.cast("bigint"))).when(ms < 60000, F.format_string("%d.%ds", F.floor(tenths / 10).cast("bigint"), (tenths % 10).cast("bigint"))).otherwise(minutes)
 
 
 def display_category(status: Column, reason: Column) -> Column:

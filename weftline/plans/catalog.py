@@ -1,6 +1,8 @@
-"""The named queries over the reference's own operators."""
+"""The named queries over the reference's own operators, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from weftline.plans import diff_queries, graph_queries, state_queries
+
+QUERIES = {**diff_queries.QUERIES, **graph_queries.QUERIES, **state_queries.QUERIES}
+ORACLE_SQL = {**diff_queries.SQL, **graph_queries.SQL, **state_queries.SQL}
