@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
+from weftline.llm.caches import keep
 from weftline.llm.vocab import byte_symbols
 
 _LETTERS = "a-zß-öø-ÿĀ-įı-ſ"
@@ -35,7 +36,7 @@ _LETTERS = "a-zß-öø-ÿĀ-įı-ſ"
 UNUSUAL = re.compile("[^\n\x20-\x7eÀ-ÖØ-öø-įı-ſ]")
 WORD_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^ \n0-9{_LETTERS}]+")
 #: Words and transitions kept by a worker before it starts anew.
-CACHE_ENTRIES, TABLE_ENTRIES = 600_000, 1_500_000
+CACHE_ENTRIES, TABLE_ENTRIES = 400_000, 1_200_000
 _NEVER = 1 << 60
 
 
@@ -171,14 +172,9 @@ class _Words(dict):
         return out
 
 
-_encoders: dict[str, AutomatonEncoder] = {}
-
-
 def encoder(path: str) -> AutomatonEncoder:
-    """One automaton a worker process, kept from task to task."""
-    if path not in _encoders:
-        _encoders[path] = AutomatonEncoder(path)
-    return _encoders[path]
+    """The automaton that this worker keeps from task to task."""
+    return keep(("automaton", path), lambda: AutomatonEncoder(path))
 
 
 def encode_documents(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

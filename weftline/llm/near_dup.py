@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.caches import keep
 from weftline.llm.components import connected_components
 from weftline.plans.scratch import materialize, release
 
@@ -50,7 +51,7 @@ DEVIATIONS = 4.0
 FILTER_BITS, BITMAP_BITS = 1 << 25, 1 << 15
 #: Bytes of a shingle hash in a full set.
 HASH_BYTES = 5
-_WORD_CACHE = 500_000
+_WORD_CACHE = 100_000
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(33))
 _STEPS = np.array([int.from_bytes(hashlib.blake2b(b"step%d" % k, digest_size=8).digest(), "little") | 1 for k in range(WORDS)], np.uint64)
 
@@ -70,9 +71,6 @@ class _WordHashes(dict):
         return out
 
 
-_hashes = _WordHashes()
-
-
 def words_of(text: str | None) -> list[bytes]:
     """Words as UTF-8 with A-Z lowered; bytes.split() parts at just the six ASCII spaces."""
     return (text or "").encode().lower().split()
@@ -82,7 +80,7 @@ def shingle_set(words: list[bytes]) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles; of the whole sequence if it has fewer words than a shingle."""
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(keep("word-hashes", _WordHashes).__getitem__, words), np.uint64, len(words))
     if len(h) < WORDS:
         return mixed((h * _STEPS[: len(h)]).sum(keepdims=True) + np.uint64(len(h)))
     n = len(h) - WORDS + 1

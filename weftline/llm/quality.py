@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.caches import keep
 from weftline.plans.scratch import materialize
 
 GOOD, BAD, SILENT = 1, 0, 2
@@ -36,7 +37,7 @@ SAMPLE, OF_PATTERN = 8000, 2000
 BUCKETS, EPOCHS, RATE, SHRINK = 1 << 16, 300, 0.5, 1e-4
 #: Texts scoring less are rejected.
 THRESHOLD = 0.5
-_CACHE = 300_000
+_CACHE = 150_000
 
 
 def _shape(token: str) -> str:
@@ -61,9 +62,6 @@ class _Shapes(dict):
         return out
 
 
-_shapes = _Shapes()
-
-
 @dataclass
 class Facts:
     """What labellers and features look at."""
@@ -89,7 +87,7 @@ def facts_of(text: str | None) -> Facts:
     text = text or ""
     tokens = text.split()
     n = max(1, len(tokens))
-    shapes = Counter(map(_shapes.__getitem__, tokens))
+    shapes = Counter(map(keep("shapes", _Shapes).__getitem__, tokens))
     counts = Counter(tokens)
     share = lambda test: sum(c for s, c in shapes.items() if test(s)) / n
     lines = [line for line in text.split("\n") if line]

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.caches import keep
 from weftline.plans.scratch import materialize
 
 #: The training sample: most confirmed toxic and most unlabelled texts, taken by the hash of the id, and most words of them, by texts that have them.
@@ -38,7 +39,7 @@ BUCKETS, GRAM = 1 << 18, 5
 COMMON = 0.3
 EPOCHS, RATE, SHRINK = 250, 0.01, 0.001
 _WORD = re.compile(r"[^\W\d_]+")
-_CACHE = 500_000
+_CACHE = 300_000
 
 
 def parts_of(word: str) -> list[int]:
@@ -165,15 +166,9 @@ def score_texts(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
     return df.select(df[id_col].alias("doc_id"), df[text_col].alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
 
 
-_cached: list = [None, None]
-
-
 def _weights_of(model: Model) -> _WordWeights:
-    """Word weights of the model, kept from task to task of one worker."""
-    key = (zlib.crc32(model.weights.tobytes()), model.bias)
-    if _cached[0] != key:
-        _cached[:] = [key, _WordWeights(model)]
-    return _cached[1]
+    """The model's word weights that this worker keeps from task to task."""
+    return keep(("toxicity", zlib.crc32(model.weights.tobytes()), model.bias), lambda: _WordWeights(model))
 
 
 def toxicity_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -15,13 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
+from weftline.llm.caches import keep
+
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: Characters outside printable ASCII, line feed and Latin letters leave the fast path.
 UNUSUAL = re.compile(rf"[^\n\x20-\x7e{_LETTERS}]")
 #: The byte-level split for the characters of the fast path.
 BYTE_LEVEL_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^ \n0-9{_LETTERS}]+|[ \n]+(?![^ \n])|[ \n]+")
 #: Pre-tokens kept by a worker before it starts anew.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 400_000
 
 
 def byte_symbols() -> dict[int, str]:
@@ -70,14 +72,9 @@ class ByteLevelEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
 
-_encoders: dict[str, ByteLevelEncoder] = {}
-
-
 def encoder(path: str) -> ByteLevelEncoder:
-    """One encoder a worker process, kept from task to task."""
-    if path not in _encoders:
-        _encoders[path] = ByteLevelEncoder(path)
-    return _encoders[path]
+    """The encoder that this worker keeps from task to task."""
+    return keep(("byte-level", path), lambda: ByteLevelEncoder(path))
 
 
 def tokenize(df: DataFrame, vocab_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
