@@ -41,20 +41,26 @@ _NEVER = 1 << 60
 
 
 class MergeAutomaton:
-    """The automaton of a list of merges of token ids."""
+    """The automaton of a list of merges (u, v, uv) of token ids, in their order; tokens that no merge makes are base symbols."""
 
-    def __init__(self, tokens: int):
+    def __init__(self, tokens: int, merges: list[tuple[int, int, int]]):
         self.cut: dict[int, int] = {}  # (u, v) -> when the gadget took the arc on v from the state after u
         self.parent = [-1] * tokens  # the token whose state the state after this one was
         self.left = [-1] * tokens  # the token whose arcs this token's arcs stand beside
         self.born = [_NEVER] * tokens  # when
+        self.arcs = [True] * tokens  # whether any state has an arc on the token
         self.size = tokens
         self.table: dict[int, bool] = {}
-
-    def merge_gadget(self, u: int, v: int, uv: int, when: int) -> None:
-        if self._has_arc(u, v):
+        for _, _, uv in merges:
+            self.arcs[uv] = False
+        for when, (u, v, uv) in enumerate(merges):
+            self._merge_gadget(u, v, uv, when)
+
+    def _merge_gadget(self, u: int, v: int, uv: int, when: int) -> None:
+        """Put the gadget in where the state after ``u`` has an arc on ``v``; a merge that no sequence can reach changes nothing."""
+        if self.arcs[u] and self.arcs[v] and self._has_arc(u, v):
             self.cut[u * self.size + v] = when
-            self.parent[uv], self.left[uv], self.born[uv] = v, u, when
+            self.parent[uv], self.left[uv], self.born[uv], self.arcs[uv] = v, u, when, True
 
     def _has_arc(self, last: int, token: int) -> bool:
         """Whether the state after ``last`` has an arc on ``token``.
@@ -100,12 +106,10 @@ class AutomatonEncoder:
         self.labels = [""] * (max([*self.vocab.values(), *self.added.values()]) + 1)
         for label, i in [*self.vocab.items(), *self.added.items()]:
             self.labels[i] = label
-        self.automaton = MergeAutomaton(len(self.labels))
-        for when, (u, v) in enumerate(m.split(" ") if isinstance(m, str) else m for m in model["merges"]):
-            self.automaton.merge_gadget(self.vocab[u], self.vocab[v], self.vocab[u + v], when)
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        self.automaton = MergeAutomaton(len(self.labels), [(self.vocab[u], self.vocab[v], self.vocab[u + v]) for u, v in pairs])
         # Arcs by their place in a word: labels without the word end, and those with it.
-        base = {*self.symbols.values()}
-        arcs = {t: i for t, i in self.vocab.items() if t in base or t.removesuffix(self.end) in base or self.automaton.born[i] != _NEVER}
+        arcs = {t: i for t, i in self.vocab.items() if self.automaton.arcs[i]}
         self.inner = {t: i for t, i in arcs.items() if not (self.end and t.endswith(self.end))}
         self.final = {t.removesuffix(self.end): i for t, i in arcs.items() if t.endswith(self.end)} if self.end else self.inner
         self.longest = max(map(len, [*self.inner, *self.final]))
