@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.scalars import ancestors, stage_base, stage_variant
 from weftline.plans.closure import longest_levels, reachable
+from weftline.plans.scratch import materialize
 
 ARTIFACT, STAGE = "artifact", "stage"
 
@@ -221,7 +222,7 @@ def resolve_external(stages: DataFrame, others: DataFrame, outputs: DataFrame, r
         need = external_producers(missing, outputs).select(F.col("stage").alias("name")).distinct().join(known.select("name"), "name", "left_anti")
         if need.isEmpty():
             break
-        known = known.unionByName(others.join(need, "name", "left_semi"))
+        known = materialize(known.unionByName(others.join(need, "name", "left_semi")), "resolved")
     return known
 
 

@@ -71,11 +71,11 @@ def timing_summary(samples: DataFrame) -> DataFrame:
 
 def bounded_samples(samples: DataFrame, order: str = "seq", most: int = MAX_SAMPLES) -> DataFrame:
     """The samples with the older half of each name dropped once there are ``most``."""
+    if samples.count() < most:
+        return samples
     ranked = samples.withColumn("_rank", F.row_number().over(Window.partitionBy("name").orderBy(order)))
     sizes = samples.groupBy("name").agg(F.count(F.lit(1)).alias("_of_name"))
-    total = samples.agg(F.count(F.lit(1)).alias("_total"))
-    kept = ranked.join(sizes, "name").join(F.broadcast(total), F.lit(True))
-    return kept.where((F.col("_total") < most) | (F.col("_rank") > F.floor(F.col("_of_name") / 2))).select(samples.columns)
+    return ranked.join(sizes, "name").where(F.col("_rank") > F.floor(F.col("_of_name") / 2)).select(samples.columns)
 
 
 def groups_by_base(stages: DataFrame) -> DataFrame:

@@ -265,7 +265,7 @@ def skip_or_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.skip_or_run(generation, staleness.lock_reason(*I.stage_states(spark, sf_dir)), run_cache_lookup(spark, sf_dir))
 
 
-@query(f"SELECT o.source AS stage, bool_and(o.size = n.size AND o.doc_id % 17 <> 0) IS TRUE AS hit FROM ({I.OLD_FILES}) o LEFT JOIN ({I.NEW_FILES}) n ON o.path = n.path GROUP BY o.source")
+@query(f"SELECT o.source AS stage, bool_and(coalesce(o.size = n.size AND o.doc_id % 17 <> 0, false)) AS hit FROM ({I.OLD_FILES}) o LEFT JOIN ({I.NEW_FILES}) n ON o.path = n.path GROUP BY o.source")
 def manifest_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = I.file_snapshots(spark, sf_dir)
     stat = lambda f, t: f.select("path", F.col("source").alias("stage"), "size", t.alias("mtime_ns"), F.col("doc_id").alias("inode"))
