@@ -19,6 +19,8 @@ columns are ignored; empty tables give empty results.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +28,7 @@ K, SKETCH = 5, 128
 #: Scripts written without spaces: each character is a token.
 _ALONE = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}])"
 #: Text bytes of one range of ids, and the most ranges, whose bounds are held on the driver.
-RANGE_BYTES, MOST_RANGES = 8 << 20, 4096
+RANGE_BYTES, MOST_RANGES = 8 << 20, 1 << 16
 
 
 def _tokens(text: Column) -> Column:
@@ -95,7 +97,7 @@ def _ranges(df: DataFrame, id_col: str, text_col: str) -> list[int]:
     if count < 2:
         return []
     shares = [k / count for k in range(1, count)]
-    found = df.agg(F.percentile_approx(id_col, shares, 10 * count).alias("at")).first()["at"]
+    found = df.agg(F.percentile_approx(id_col, F.from_json(F.lit(json.dumps(shares)), "array<double>"), F.lit(10 * count)).alias("at")).first()["at"]
     return sorted(set(found or []))
 
 
@@ -103,7 +105,7 @@ def _range_of(value: Column, bounds: list[int]) -> Column:
     """How many bounds are not above ``value``, by binary search in a constant array; null ids come before the first."""
     if not bounds:
         return F.lit(0)
-    table = F.array(*[F.lit(b).cast("long") for b in bounds])
+    table = F.from_json(F.lit(json.dumps(bounds)), "array<bigint>")  # folded into one constant
     steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
     at = F.aggregate(
         F.array(*[F.lit(s) for s in steps]),
