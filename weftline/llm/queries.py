@@ -110,6 +110,23 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesc
 FROM sets s LEFT JOIN components c ON s.doc_id = c.doc_id
 """
 
+#: All pairs of usable vectors of equal dimension.
+EMBEDDING_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+usable AS (
+  SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v
+  WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), pairs AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.e, b.e) >= 0.95 * a.n * b.n
+), reach AS (SELECT a AS vec_id, b AS other FROM pairs UNION SELECT r.vec_id, p.b FROM reach r JOIN pairs p ON r.other = p.a),
+components AS (SELECT vec_id, min(other) AS low FROM reach GROUP BY vec_id),
+degrees AS (SELECT a AS vec_id, count(*) AS n FROM pairs GROUP BY a)
+SELECT v.vec_id, coalesce(d.n, 0) AS n_links, least(v.vec_id, coalesce(c.low, v.vec_id)) AS component_id, v.vec_id = least(v.vec_id, coalesce(c.low, v.vec_id)) AS kept
+FROM v LEFT JOIN degrees d ON v.vec_id = d.vec_id LEFT JOIN components c ON v.vec_id = c.vec_id
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op8_embedding_dedup": EMBEDDING_SQL,
     "op4_near_dup": NEAR_DUP_SQL,
 }

@@ -23,7 +23,7 @@ UNUSUAL = re.compile(rf"[^\n\x20-\x7e{_LETTERS}]")
 #: The byte-level split for the characters of the fast path.
 BYTE_LEVEL_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^ \n0-9{_LETTERS}]+|[ \n]+(?![^ \n])|[ \n]+")
 #: Pre-tokens kept by a worker before it starts anew.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 800_000
 
 
 def byte_symbols() -> dict[int, str]:
