@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from weftline.llm.caches import keep
+from weftline.llm.caches import bounded, keep
 from weftline.llm.vocab import byte_symbols
 
 _LETTERS = "a-zß-öø-ÿĀ-įı-ſ"
@@ -191,7 +191,7 @@ def encode_documents(df: DataFrame, vocab_path: str, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(df[id_col].alias("doc_id"), df[text_col].alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    return bounded(df).select(df[id_col].alias("doc_id"), df[text_col].alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>")
 
 
 def decode_documents(df: DataFrame, vocab_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -204,7 +204,7 @@ def decode_documents(df: DataFrame, vocab_path: str, id_col: str = "doc_id", ids
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(df[id_col].alias("doc_id"), df[ids_col].alias("ids")).mapInArrow(run, f"doc_id {kind}, text string")
+    return bounded(df).select(df[id_col].alias("doc_id"), df[ids_col].alias("ids")).mapInArrow(run, f"doc_id {kind}, text string")
 
 
 def round_trip_digests(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -222,4 +222,4 @@ def round_trip_digests(df: DataFrame, vocab_path: str, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(df[id_col].alias("doc_id"), df[text_col].alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return bounded(df).select(df[id_col].alias("doc_id"), df[text_col].alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

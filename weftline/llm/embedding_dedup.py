@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.caches import bounded
 from weftline.llm.components import connected_components
 from weftline.plans.scratch import materialize
 
@@ -270,7 +271,7 @@ def _links(classes: DataFrame, plan: Plan) -> DataFrame:
 
 def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """One row per vector: vec_id, n_links (other vectors linked directly), component_id (smallest id of its group) and kept (whether that is its own)."""
-    rows = materialize(_vectors(df.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("vector"))), "vectors")
+    rows = materialize(_vectors(bounded(df).select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("vector"))), "vectors")
     classes = materialize(rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("vector").alias("vector")), "vector-classes")
     plan = plan_for(classes.count(), _collision(classes))
     found = materialize(_links(classes, plan), "vector-links")

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.caches import keep
+from weftline.llm.caches import bounded, keep
 from weftline.llm.components import connected_components
 from weftline.plans.scratch import materialize, release
 
@@ -401,7 +401,7 @@ def groups_of(texts: DataFrame, classes: DataFrame) -> DataFrame:
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest id of its group) and kept (whether that is its own)."""
-    texts = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    texts = bounded(df).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = materialize(_documents(texts), "near-dup-rows")
     classes = materialize(
         rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("tokens").alias("tokens"), F.any_value("sketch").alias("sketch")),

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import vocab
+from weftline.llm.caches import bounded
 from weftline.plans.scratch import new_path
 
 WINDOW = 1024
@@ -174,7 +175,7 @@ def _tokens_with_terms(df: DataFrame, vocab_path: str, end_id: int) -> DataFrame
             nothing = pa.nulls(1, batch.schema.field(0).type)
             yield pa.RecordBatch.from_arrays([nothing, pa.array([0], pa.int64()), pa.array([0], pa.int32()), pa.array([frequency.tobytes()], pa.binary()), pa.array(["frequency"])], names)
 
-    rows = df.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, term int, ids binary, kind string")
+    rows = bounded(df).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, term int, ids binary, kind string")
     path = new_path(df.sparkSession, "packing-tokens")
     rows.write.partitionBy("kind").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(rows.schema).parquet(path)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.caches import keep
+from weftline.llm.caches import bounded, keep
 from weftline.plans.scratch import materialize
 
 GOOD, BAD, SILENT = 1, 0, 2
@@ -272,7 +272,7 @@ def train(texts: DataFrame) -> Scorer | None:
 def quality_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, votes, weak_label (the label model's chance of good), score (the scorer's) and keep of every document."""
     kind = df.schema[id_col].dataType.simpleString()
-    texts = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = bounded(df).select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     scorer = train(texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,7 +292,7 @@ def quality_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def keep_good(df: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows, with their columns, that a scorer trained on all of them doesn't reject."""
     names = df.columns
-    scorer = train(df.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")))
+    scorer = train(bounded(df).select(F.coalesce(F.col(text_col), F.lit("")).alias("text")))
     if scorer is None:
         return df
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.caches import keep
+from weftline.llm.caches import bounded, keep
 from weftline.plans.scratch import materialize
 
 #: The training sample: most confirmed toxic and most unlabelled texts, taken by the hash of the id, and most words of them, by texts that have them.
@@ -173,14 +173,14 @@ def _weights_of(model: Model) -> _WordWeights:
 
 def toxicity_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score and predicted (1 at 0.5 or more) of every document."""
-    texts = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    texts = bounded(df).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     scored = score_texts(texts, train(texts, labels.select("doc_id", "toxic")))
     return scored.select("doc_id", F.coalesce(~may_learn(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows, with their columns, whose text scores below 0.5; clashing names don't matter, as columns go by place."""
-    names, schema = df.columns, df.schema
+    names, schema = bounded(df).columns, df.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = _weights_of(model).__getitem__

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from weftline.llm.caches import keep
+from weftline.llm.caches import bounded, keep
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: Characters outside printable ASCII, line feed and Latin letters leave the fast path.
@@ -92,7 +92,7 @@ def tokenize(df: DataFrame, vocab_path: str, end_id: int = 0, id_col: str = "doc
             yield pa.RecordBatch.from_arrays([batch.column(0), counts, pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(df[id_col].alias("doc_id"), df[text_col].alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary")
+    return bounded(df).select(df[id_col].alias("doc_id"), df[text_col].alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary")
 
 
 def id_dtype(vocab_path: str) -> np.dtype:
