@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from weftline.sources import readers, writers
+from weftline.sources import readers, transfer, writers
 from weftline.streaming import streams
 
 
@@ -102,3 +102,21 @@ def test_streams(spark, tmp_path):
     for query in streams.fan_out(changes, {"json": streams.json_sink(str(out))}, str(tmp_path / "cp")).values():
         query.awaitTermination(120)
     assert spark.read.json(str(out)).count() == 5
+
+
+def test_objects_are_copied_once_with_a_row_each(spark, tmp_path):
+    local, remote = tmp_path / "local", tmp_path / "remote"
+    names = ["0123456789abcde%x" % k for k in range(4)]
+    for name in names[:3]:
+        (local / name[:2]).mkdir(parents=True, exist_ok=True)
+        (local / name[:2] / name[2:]).write_text(name)
+    (remote / "zz").mkdir(parents=True)
+    (remote / "zz" / "not-a-hash").write_text("x")
+    assert {r["hash"] for r in transfer.list_objects(spark, str(local)).collect()} == set(names[:3])
+    first = transfer.push(spark, str(local), str(remote)).collect()
+    assert sorted((r["hash"], r["success"]) for r in first) == [(n, True) for n in names[:3]]
+    assert transfer.push(spark, str(local), str(remote)).isEmpty()
+    wanted = spark.createDataFrame([(n,) for n in names], "hash string")
+    pulled = transfer.copy_objects(wanted, str(remote), str(tmp_path / "new")).cache()
+    assert transfer.transfer_summary(pulled).first().asDict() == {"n_copied": 3, "n_failed": 1}
+    assert (tmp_path / "new" / names[0][:2] / names[0][2:]).read_text() == names[0]
