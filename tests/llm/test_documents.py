@@ -432,8 +432,8 @@ def test_quality(spark, edges, nothing, edge_rows):
     bad = [" ".join(word().upper() + "!!" for _ in range(60)) for _ in range(20)] + [" | ".join(word() + "xyz" for _ in range(50)) for _ in range(20)] + ["again " * 90 for _ in range(20)]
     df = spark.createDataFrame(list(enumerate([*good, *bad])), "doc_id long, text string")
     out = quality.quality_scores(df).toPandas().sort_values("doc_id")
-    assert (out.keep.values == [True] * 240 + [False] * 60).mean() > 0.97 and out.keep[:240].mean() > 0.99
-    assert quality.keep_good(df).count() == out.keep.sum()
+    assert (out.kept.values == [True] * 240 + [False] * 60).mean() > 0.97 and out.kept[:240].mean() > 0.99
+    assert quality.keep_good(df).count() == out.kept.sum()
     odd = quality.quality_scores(edges).collect()
     assert len(odd) == len(edge_rows) and all(0 <= r["score"] <= 1 for r in odd)
     assert quality.keep_good(edges).schema == edges.schema

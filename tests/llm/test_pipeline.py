@@ -23,7 +23,7 @@ def test_stages_do_what_their_operators_say(spark):
         frames.append(stage(spark, frames[-1], SF_DIR).cache())
     ids = [{r["doc_id"] for r in f.select("doc_id").collect()} for f in frames]
     assert all(f.columns == names for f in frames[:5])
-    assert ids[1] == {r["doc_id"] for r in quality.quality_scores(frames[0]).where("keep").collect()}
+    assert ids[1] == {r["doc_id"] for r in quality.quality_scores(frames[0]).where("kept").collect()}
     labels = spark.read.parquet(f"{SF_DIR}/labels.parquet")
     assert ids[2] == {r["doc_id"] for r in toxicity.toxicity_scores(frames[1], labels).where("predicted = 0").collect()}
     assert ids[3] == {r["doc_id"] for r in near_dup.near_duplicates(frames[2]).where("kept").collect()}

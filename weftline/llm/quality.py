@@ -270,7 +270,7 @@ def train(texts: DataFrame) -> Scorer | None:
 
 
 def quality_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, votes, weak_label (the label model's chance of good), score (the scorer's) and keep of every document."""
+    """doc_id, votes, weak_label (the label model's chance of good), score (the scorer's) and kept (whether it isn't rejected) of every document."""
     kind = df.schema[id_col].dataType.simpleString()
     texts = bounded(df).select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     scorer = train(texts)
@@ -284,9 +284,9 @@ def quality_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 posterior.update(zip(new, scorer.labels.posterior(new).tolist(), strict=True))
             scores = [scorer.score(features_of(f)) for f in facts]
             columns = [batch.column(0), pa.array(votes, pa.string()), pa.array([posterior[v] for v in votes], pa.float64()), pa.array(scores, pa.float64()), pa.array([s >= THRESHOLD for s in scores], pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "votes", "weak_label", "score", "keep"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "votes", "weak_label", "score", "kept"])
 
-    return texts.mapInArrow(run, f"doc_id {kind}, votes string, weak_label double, score double, keep boolean")
+    return texts.mapInArrow(run, f"doc_id {kind}, votes string, weak_label double, score double, kept boolean")
 
 
 def keep_good(df: DataFrame, text_col: str = "text") -> DataFrame:
