@@ -29,18 +29,21 @@ def reachable(edges: DataFrame, seeds: DataFrame | None = None, src: str = "src"
 def longest_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, level): 0 without incoming edges, else one more than the highest level of a source. Raises ValueError on a cycle.
 
-    Nodes whose sources are all placed are placed in rounds, so a round costs one join over
-    the edges that are left.
+    Each round takes away the edges of the sources that nothing leads to any more, which
+    have the round as their level; it writes the edges that are left.
     """
-    left = materialize(edges.select("src", "dst").distinct(), "level-edges")
-    waiting = materialize(nodes.select("node").distinct(), "level-nodes")
-    placed, level = None, 0
-    while not waiting.isEmpty():
-        ready = materialize(waiting.join(left.select(F.col("dst").alias("node")).distinct(), "node", "left_anti").withColumn("level", F.lit(level)), "levels")
-        if ready.isEmpty():
+    every = materialize(edges.select("src", "dst").distinct(), "level-edges")
+    left, size, sources, level = every, every.count(), None, 0
+    while size:
+        free = left.select(F.col("src").alias("node")).distinct().join(left.select(F.col("dst").alias("node")), "node", "left_anti")
+        after = materialize(left.join(free.select(F.col("node").alias("src")), "src", "left_anti").select("src", "dst"), "level-edges")
+        remaining = after.count()
+        if remaining == size:
             raise ValueError("the graph has a cycle")
-        placed = ready if placed is None else placed.union(ready)
-        waiting = materialize(waiting.join(ready, "node", "left_anti").select("node"), "level-nodes")
-        left = materialize(left.join(ready.select(F.col("node").alias("src")), "src", "left_anti").select("src", "dst"), "level-edges")
-        level += 1
-    return placed if placed is not None else nodes.select("node").withColumn("level", F.lit(0))
+        placed = free.select(F.col("node").alias("src"), F.lit(level).alias("level"))
+        sources = placed if sources is None else sources.union(placed)
+        left, size, level = after, remaining, level + 1
+    if sources is None:
+        return nodes.select("node").distinct().withColumn("level", F.lit(0))
+    levels = every.join(sources, "src").groupBy(F.col("dst").alias("node")).agg((F.max("level") + 1).alias("level"))
+    return nodes.select("node").distinct().join(levels, "node", "left").select("node", F.coalesce("level", F.lit(0)).alias("level"))
