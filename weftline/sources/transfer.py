@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.scalars import cache_path, valid_hash
 from weftline.operators.cache import cached_hashes, pull_set, push_set
+from weftline.plans.workers import ensure_importable
 
 
 def list_objects(spark: SparkSession, folder: str) -> DataFrame:
@@ -40,6 +41,7 @@ def copy_objects(hashes: DataFrame, source: str, target: str) -> DataFrame:
                     errors.append(str(error))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([e is None for e in errors]), pa.array(errors, pa.string())], ["hash", "success", "error"])
 
+    ensure_importable(hashes.sparkSession)
     named = hashes.where(valid_hash(F.col("hash"))).select("hash", cache_path(F.col("hash")).alias("path")).distinct()
     return named.mapInArrow(run, "hash string, success boolean, error string")
 
