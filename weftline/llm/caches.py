@@ -10,6 +10,8 @@ from typing import TypeVar
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from weftline.plans.workers import ensure_importable
+
 Kept = TypeVar("Kept")
 _kept: dict[Hashable, object] = {}
 
@@ -40,7 +42,8 @@ def trim() -> None:
 
 
 def bounded(df: DataFrame) -> DataFrame:
-    """The table; from now on its session sends workers batches of 8 MB at most, unless it names a size itself."""
+    """The table; from now on its session sends workers batches of 8 MB at most, unless it names a size itself, and they can import this package."""
+    ensure_importable(df.sparkSession)
     conf = df.sparkSession.conf
     if conf.get(BATCH_KEY, DEFAULT_BATCH) == DEFAULT_BATCH:
         conf.set(BATCH_KEY, BATCH)
