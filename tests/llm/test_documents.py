@@ -171,6 +171,27 @@ def test_bm25_finds_what_a_full_comparison_finds():
         assert np.allclose(sorted(scores[found]), sorted(scores[best]), rtol=1e-4)
 
 
+def bm25_index(docs, terms):
+    ids, ends = np.concatenate(docs), np.cumsum([len(d) for d in docs])
+    frequency = np.zeros(terms, np.int64)
+    for d in docs:
+        frequency[np.unique(d)] += 1
+    return packing.InvertedIndex(ids, ends, packing.TermStatistics(len(docs), ends[-1] / len(docs), frequency))
+
+
+def test_short_neighbours_fill_the_window():
+    """One that shares only the seed's lightest terms, and far more than 16 short ones."""
+    rest = [np.arange(1000 + 20 * k, 1020 + 20 * k) for k in range(100)]
+    near = [np.r_[k % 20, np.arange(5000 + 19 * k, 5019 + 19 * k)] for k in range(40)]
+    docs = [np.arange(400), *rest, *near]
+    index = bm25_index(docs, 6000)
+    unused = np.ones(len(docs), np.float32)
+    unused[0] = 0
+    assert sorted(index.neighbours(0, unused)) == list(range(101, 141))
+    order = list(packing.pack_order([len(d) for d in docs], index))
+    assert order[0] == 0 and set(order[1:33]) <= set(range(101, 141))
+
+
 def test_hot_terms_are_split_over_shards(spark, monkeypatch):
     monkeypatch.setattr(packing, "SHARD_TOKENS", 500)
     df = spark.createDataFrame([(i, f"the same words again and again {i}") for i in range(300)], "doc_id long, text string")

@@ -33,8 +33,10 @@ from weftline.plans.scratch import new_path
 WINDOW = 1024
 #: Tokens of one index shard, which a task holds in memory.
 SHARD_TOKENS = 2_000_000
-#: BM25's constants, the seed's terms of most weight that a query uses, and neighbours that it returns.
-K1, B, QUERY_TERMS, NEIGHBOURS = 1.2, 0.75, 16, 16
+#: BM25's constants.
+K1, B = 1.2, 0.75
+#: Bounds on the seed's terms in a query and on its neighbours: none, all terms and all ranked neighbours count.
+QUERY_TERMS = NEIGHBOURS = None
 #: A term in more than this share of the documents is a stop term.
 STOP_SHARE = 0.25
 
@@ -76,18 +78,16 @@ class InvertedIndex:
         entry = entry[np.lexsort((place[entry], -weights[entry], docs[entry]))]
         self.terms, self.of_doc = place[entry], np.searchsorted(docs[entry], np.arange(n + 1))
 
-    def neighbours(self, seed: int, unused: np.ndarray) -> list[int]:
-        """Unused documents by falling BM25 score for the seed's weightiest terms, then by place."""
-        scores = np.zeros(self.size, np.float32)
-        at = self.of_doc[seed]
-        for term in self.terms[at : min(at + QUERY_TERMS, self.of_doc[seed + 1])].tolist():
-            span = slice(self.first[term], self.last[term])
-            scores[self.docs[span]] += self.weights[span]
-        scores *= unused
+    def neighbours(self, seed: int, unused: np.ndarray, most: int | None = NEIGHBOURS) -> list[int]:
+        """Unused documents by falling BM25 score for all of the seed's terms, then by place; the first ``most`` of them if given."""
+        at = self.terms[self.of_doc[seed] : self.of_doc[seed + 1]][:QUERY_TERMS]
+        first, counts = self.first[at], self.last[at] - self.first[at]
+        entry = np.arange(counts.sum()) + np.repeat(first - np.cumsum(counts) + counts, counts)
+        scores = np.bincount(self.docs[entry], self.weights[entry], self.size) * unused
         found = np.flatnonzero(scores)
-        if len(found) > NEIGHBOURS:
-            found = found[np.argpartition(-scores[found], NEIGHBOURS - 1)[:NEIGHBOURS]]
-        return found[np.lexsort((found, -scores[found]))].tolist()
+        if most is not None and len(found) > most:
+            found = found[scores[found] >= np.partition(scores[found], -most)[-most]]
+        return found[np.argsort(-scores[found], kind="stable")][:most].tolist()
 
 
 @dataclass
@@ -116,7 +116,8 @@ def pack_order(lengths: list[int], index: InvertedIndex) -> Iterator[int]:
         if filled == 0:
             queue = []
         elif seed >= 0:
-            queue, seed = index.neighbours(seed, unused)[::-1], -1
+            # Every document has an id, so as many neighbours as ids are missing always fill the window.
+            queue, seed = index.neighbours(seed, unused, WINDOW - filled)[::-1], -1
         while queue and not unused[queue[-1]]:
             queue.pop()
         if queue:
