@@ -192,6 +192,13 @@ def test_short_neighbours_fill_the_window():
     assert order[0] == 0 and set(order[1:33]) <= set(range(101, 141))
 
 
+def test_copies_in_over_a_quarter_of_the_documents_are_neighbours():
+    docs = [np.arange(20) if k % 3 == 0 else np.arange(20 + 20 * k, 40 + 20 * k) for k in range(30)]
+    unused = np.ones(30, np.float32)
+    unused[0] = 0
+    assert bm25_index(docs, 700).neighbours(0, unused) == list(range(3, 30, 3))
+
+
 def test_hot_terms_are_split_over_shards(spark, monkeypatch):
     monkeypatch.setattr(packing, "SHARD_TOKENS", 500)
     df = spark.createDataFrame([(i, f"the same words again and again {i}") for i in range(300)], "doc_id long, text string")

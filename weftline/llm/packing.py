@@ -37,8 +37,6 @@ SHARD_TOKENS = 2_000_000
 K1, B = 1.2, 0.75
 #: Bounds on the seed's terms in a query and on its neighbours: none, all terms and all ranked neighbours count.
 QUERY_TERMS = NEIGHBOURS = None
-#: A term in more than this share of the documents is a stop term.
-STOP_SHARE = 0.25
 
 
 @dataclass
@@ -50,9 +48,8 @@ class TermStatistics:
     frequency: np.ndarray
 
     def idf(self) -> np.ndarray:
-        """BM25's inverse document frequency, 0 for stop terms."""
-        weight = np.log1p((self.documents - self.frequency + 0.5) / (self.frequency + 0.5))
-        return np.where(self.frequency > max(2.0, STOP_SHARE * self.documents), 0.0, weight).astype(np.float32)
+        """BM25's inverse document frequency, above 0 for every term."""
+        return np.log1p((self.documents - self.frequency + 0.5) / (self.frequency + 0.5)).astype(np.float32)
 
 
 class InvertedIndex:
@@ -63,8 +60,7 @@ class InvertedIndex:
         n = self.size = len(ends)
         lengths = np.diff(ends, prepend=0)
         doc = np.repeat(np.arange(n, dtype=np.int64), lengths)
-        kept = idf[ids] > 0
-        keys, counts = np.unique(ids[kept].astype(np.int64) * n + doc[kept], return_counts=True)
+        keys, counts = np.unique(ids.astype(np.int64) * n + doc, return_counts=True)
         terms, docs = keys // n, (keys % n).astype(np.int32)
         shrink = K1 * (1 - B + B * lengths / max(1.0, statistics.mean_tokens))
         weights = (idf[terms] * counts * (K1 + 1) / (counts + shrink[docs])).astype(np.float32)
