@@ -64,6 +64,22 @@ def test_assignments_are_followed(text, secrets):
     assert not any(s in secret_scan.redacted(text) for s in secrets)
 
 
+SECRET = "".join(random.Random(9).choices("abcdefghijkmnpqrsuvwyzABCDEFGHKLMNPQRSTUVWXYZ23456789", k=1211))
+
+
+@pytest.mark.parametrize("text", [f"jwt = -{SECRET}", f"jwt{' ' * 40}= -{SECRET}", f"x{'_y' * 60}_credential: -{SECRET}", f"'{'a b' * 40} credential' : '-{SECRET}'", f"redis://:-{SECRET}@host", f"redis://{'u' * 90}:-{SECRET}@host"])
+def test_lexed_literals_are_whole(text):
+    assert [text[f.start : f.end] for f in secret_scan.all_findings(text)[1]] == ["-" + SECRET]
+    assert SECRET[-9:] not in secret_scan.redacted(text)
+
+
+def test_operators_within_a_long_literal():
+    text = "jwt=" * 30 + "aB3"
+    runs = {(f.start, f.score) for f in secret_scan.lexed_findings(text)}
+    assert runs == {(k, score) for k in range(4, 121, 4) if (score := round(0.9 * secret_scan.literal_strength(text[k:], False), 4)) >= secret_scan.THRESHOLD}
+    assert len(secret_scan.lexed_findings("jwt=" * 10000 + "aB3" * 1000)) > 100
+
+
 def test_secrets_of_odd_rows(edges, nothing, edge_rows):
     assert secret_scan.secret_digests(edges).count() == len(edge_rows)
     assert secret_scan.secret_digests(nothing).isEmpty() and secret_scan.find_secrets(nothing).isEmpty()

@@ -44,12 +44,18 @@ PLACEHOLDER = re.compile(r"(?i)change_?me|example|placeholder|your[_-]|dummy|red
 #: Least name weight times literal strength of a finding, and least length of a literal.
 THRESHOLD, LEAST_LITERAL = 0.5, 8
 
-_NAME_BEFORE = re.compile(r"""(?:(["'])([A-Za-z_][\w .\-]{0,79})\1\]?|([A-Za-z_$][\w$.\-]{0,79}))[ \t]{0,8}$""")
-_ATOM = re.compile(r""""((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|\$?\{?([A-Za-z_$][\w$.]{0,79})\}?(?=[ \t]*(?:[;,+)\]}\n\r#]|$))|([\w+/.=\-~!@%^&*]{1,512})""")
+# Matched in the reversed text, from an operator back.
+_BLANKS, _NAME_SIGNS = re.compile(r"\n?[ \t]*"), re.compile(r"[\w$.\-]+")
+_NAME_START = re.compile(r"[A-Za-z_$]")
+_QUOTED_NAME = re.compile(r"[A-Za-z_][\w .\-]*")
+_ATOM = re.compile(r""""((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|\$?\{?([A-Za-z_$][\w$.]*+)\}?(?=[ \t]*(?:[;,+)\]}\n\r#]|$))""")
+_BARE = re.compile(r"[\w+/.=\-~!@%^&*]+")
+#: Every place at which PLACEHOLDER finds something in a bare literal.
+_PLACEHOLDER_AT = re.compile(r"(?i)(?=change_?me|example|placeholder|your[_-]|dummy|redacted|todo|xxx|\*\*\*|null|none|true|false|undefined)")
 _OPERATOR = re.compile(r":=|=>|=|:")
 _GAP = re.compile(r"[ \t]*")
 _JOIN = re.compile(r"[ \t]*(?:\+[ \t]*(?:\\?\n[ \t]*)?)?")
-_URL_SECRET = re.compile(r"[a-z][a-z0-9+.\-]{1,15}://[^\s:/@\"']{1,64}:([^\s@/\"']{6,128})@")
+_URL_SECRET = re.compile(r"[a-z][a-z0-9+.\-]{1,15}://[^\s:/@\"']*+:([^\s@/\"']{6,}+)@")
 _CAMEL = re.compile(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
@@ -64,11 +70,36 @@ class Finding:
 
 @dataclass
 class _Held:
-    """What a name holds: the literal's text and the places of its parts, and whether it was quoted."""
+    """What a name holds: the places of its literals, whether one was quoted, and whether it is one bare literal."""
 
-    text: str
     places: list[tuple[int, int]]
     quoted: bool
+    bare: bool = False
+
+
+class _Run:
+    """The bare literal read last. Later ones may begin within it; they end with it, so each character is counted once."""
+
+    def __init__(self, text: str):
+        self.text, self.at, self.end, self.counts, self.placeholder = text, 0, 0, None, -1
+
+    def end_from(self, at: int) -> int:
+        """Where the bare literal that begins at ``at`` ends; ``at`` if there is none."""
+        if not self.at <= at < self.end:
+            found = _BARE.match(self.text, at)
+            if not found:
+                return at
+            self.at, self.end, self.counts = at, found.end(), None
+        return self.end
+
+    def strength(self, at: int) -> float:
+        if self.counts is None:
+            self.counts = Counter(self.text[at : self.end])
+            self.placeholder = max((m.start() for m in _PLACEHOLDER_AT.finditer(self.text, at, self.end)), default=-1)
+        else:
+            self.counts -= Counter(self.text[self.at : at])
+        self.at = at
+        return 0.0 if self.end - at < LEAST_LITERAL or self.placeholder >= at else _strength(self.counts, self.end - at, False)
 
 
 def name_weight(name: str) -> float:
@@ -82,61 +113,84 @@ def literal_strength(text: str, quoted: bool) -> float:
     """How much a literal looks like a secret, 0 to 1: by length, kinds of characters and entropy."""
     if len(text) < LEAST_LITERAL or PLACEHOLDER.search(text) or any(c.isspace() for c in text):
         return 0.0
-    classes = sum(any(test(c) for c in text) for test in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
-    digits = any(c.isdigit() for c in text)
-    if not quoted and not (digits and any(c.isalpha() for c in text)):
+    return _strength(Counter(text), len(text), quoted)
+
+
+def _strength(counts: Counter, length: int, quoted: bool) -> float:
+    classes = sum(any(test(c) for c in counts) for test in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
+    digits = any(c.isdigit() for c in counts)
+    if not quoted and not (digits and any(c.isalpha() for c in counts)):
         return 0.0
     if classes < 2:
         return 0.0
-    counts = Counter(text)
-    entropy = -sum(n / len(text) * math.log2(n / len(text)) for n in counts.values())
+    entropy = -sum(n / length * math.log2(n / length) for n in counts.values())
     return min(1.0, 0.3 + entropy / 8 + 0.1 * (classes - 1) + 0.1 * digits)
 
 
-def _value_after(text: str, at: int, held: dict[str, _Held]) -> _Held | None:
+def _name_before(text: str, back: str, at: int) -> str | None:
+    """The quoted or bare name that ends before ``at``, blanks aside; ``back`` is the text reversed."""
+    n = len(text)
+    end = n - _BLANKS.match(back, n - at).end()
+    close = end - 2 if end > 1 and text[end - 1] == "]" else end - 1
+    if close > 0 and text[close] in "\"'":
+        start = text.rfind(text[close], 0, close)
+        return text[start + 1 : close] if start >= 0 and _QUOTED_NAME.fullmatch(text, start + 1, close) else None
+    signs = _NAME_SIGNS.match(back, n - end)
+    first = signs and _NAME_START.search(text, n - signs.end(), end)
+    return text[first.start() : end] if first else None
+
+
+def _value_after(text: str, at: int, held: dict[str, _Held], run: _Run) -> _Held | None:
     """The value that begins at ``at``: literals, possibly joined, or what a name holds."""
-    parts, places, quoted = [], [], False
+    places, quoted, bare = [], False, False
     while True:
         atom = _ATOM.match(text, at)
-        if not atom:
+        which, end = (atom.lastindex, atom.end()) if atom else (5, run.end_from(at))
+        if end == at:
             break
-        which = atom.lastindex
         if which == 4 and atom[4] in held:
             known = held[atom[4]]
-            parts.append(known.text)
             places += known.places
             quoted |= known.quoted
-        elif which == 4 and parts:
+        elif which == 4 and places:
             return None
         else:
-            parts.append(atom[which])
-            places.append(atom.span(which))
+            bare = which == 5 and not places
+            places.append(atom.span(which) if atom else (at, end))
             quoted |= which <= 3
-        joint = _JOIN.match(text, atom.end())
+        joint = _JOIN.match(text, end)
         at = joint.end()
         if "+" not in joint[0] and not (which <= 3 and at < len(text) and text[at] in "\"'"):
             break
-    return _Held("".join(parts), places, quoted) if parts else None
+    return _Held(places, quoted, bare and len(places) == 1) if places else None
 
 
 def lexed_findings(text: str) -> list[Finding]:
     """Literals that reach a sensitive name, each with its most sensitive one."""
     held: dict[str, _Held] = {}
     best: dict[tuple[int, int], Finding] = {}
+    known: dict[tuple, float] = {}
+    run, back = _Run(text), text[::-1]
+
+    def strength(value: _Held) -> float:
+        key = (value.quoted, *value.places)
+        if key not in known:
+            inner = value.bare and run.at <= value.places[0][0] < run.end
+            known[key] = run.strength(value.places[0][0]) if inner else literal_strength("".join(text[a:b] for a, b in value.places), value.quoted)
+        return known[key]
 
     def note(value: _Held, name: str, weight: float) -> None:
-        score = weight * literal_strength(value.text, value.quoted)
+        score = weight * strength(value)
         if score >= THRESHOLD:
             for place in value.places:
                 if place not in best or best[place].score < score:
                     best[place] = Finding("lexed", *place, name, round(score, 4))
 
     for op in _OPERATOR.finditer(text):
-        before = _NAME_BEFORE.search(text[max(0, op.start() - 96) : op.start()])
-        if not before:
+        name = _name_before(text, back, op.start())
+        if name is None:
             continue
-        name = before[2] or before[3]
-        value = _value_after(text, _GAP.match(text, op.end()).end(), held)
+        value = _value_after(text, _GAP.match(text, op.end()).end(), held, run)
         if value is None:
             continue
         held[name] = value
@@ -144,7 +198,7 @@ def lexed_findings(text: str) -> list[Finding]:
             note(value, name, weight)
     if "://" in text:
         for url in _URL_SECRET.finditer(text):
-            note(_Held(url[1], [url.span(1)], True), "url password", 1.0)
+            note(_Held([url.span(1)], True), "url password", 1.0)
     return sorted(best.values(), key=lambda f: (f.start, f.end))
 
 
