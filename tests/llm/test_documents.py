@@ -469,6 +469,18 @@ def test_label_model_finds_accuracies():
     assert abs(model.good - 0.7) < 0.03 and np.abs(model.accuracy - accuracy).max() < 0.04
 
 
+def test_patterns_of_copies_are_learned_from(spark, monkeypatch):
+    """One text of each pattern, and patterns of 3,000 copies of one text."""
+    seen = []
+    fit = quality.fit_scorer
+    monkeypatch.setattr(quality, "fit_scorer", lambda rows, target, weight: seen.append(len(rows)) or fit(rows, target, weight))
+    monkeypatch.setattr(quality, "OF_PATTERN", 1)
+    junk = ["!!! ??? !!! ???", "1 2 3 4 5 6 7", "AAA BBB CCC DDD EEE"]
+    assert len({quality.votes_of(quality.facts_of(t)) for t in junk}) == 3
+    quality.train(spark.createDataFrame([(t,) for t in junk for _ in range(3000)], "text string"))
+    assert seen == [3]
+
+
 def test_quality(spark, edges, nothing, edge_rows):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.choice((2, 2, 3, 5, 7))))

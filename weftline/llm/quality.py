@@ -239,13 +239,16 @@ def train(texts: DataFrame) -> Scorer | None:
     """Fit the label model on the votes on all texts and the scorer on a bounded sample; None for an empty table."""
     votes = materialize(_votes(texts), "quality-votes")
     # Of three answers of each labeller: at most 3**14 patterns, of which few occur.
-    counts = {r["votes"]: r["n"] for r in votes.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()}
+    found = votes.groupBy("votes").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("digest").alias("texts")).collect()
+    counts = {r["votes"]: r["n"] for r in found}
     if not counts:
         return None
     model = fit_label_model(dict(sorted(counts.items())))
     each = max(1, min(OF_PATTERN, SAMPLE // len(counts)))
-    rates = texts.sparkSession.createDataFrame([(p, min(1.0, 2 * each / n)) for p, n in counts.items()], "votes string, rate double")
-    # Of each pattern the texts of least hash: first thinned by rate, so that no pattern's window holds more than a few times what is taken.
+    # Of each pattern the texts of least hash: first thinned by rate, so that no pattern's list holds many more than are taken.
+    # Rates are over distinct texts and expect so many more than are taken that fewer (by over six deviations) never pass.
+    expected = each + 10 * each**0.5 + 40
+    rates = texts.sparkSession.createDataFrame([(r["votes"], min(1.0, expected / r["texts"])) for r in found], "votes string, rate double")
     order = F.pmod(F.xxhash64(F.lit(3), "digest"), F.lit(1 << 40))
     thin = votes.join(F.broadcast(rates), "votes").where(order < F.col("rate") * (1 << 40))
     chosen = thin.select("votes", "digest", order.alias("at")).distinct().groupBy("votes").agg(F.slice(F.sort_array(F.collect_list(F.struct("at", "digest"))), 1, each).alias("some"))
@@ -258,8 +261,8 @@ def train(texts: DataFrame) -> Scorer | None:
             yield pa.RecordBatch.from_arrays(columns, ["votes", "digest", "at", "value"])
 
     # At most SAMPLE rows, so they may be broadcast.
-    with_text = texts.withColumn("digest", F.xxhash64("text")).join(F.broadcast(chosen), "digest").select("votes", "digest", "text")
-    rows = {r["digest"]: r for r in with_text.mapInArrow(run, "votes string, digest long, at array<int>, value array<double>").dropDuplicates(["digest"]).collect()}
+    with_text = texts.withColumn("digest", F.xxhash64("text")).join(F.broadcast(chosen), "digest").select("votes", "digest", "text").dropDuplicates(["digest"])
+    rows = {r["digest"]: r for r in with_text.mapInArrow(run, "votes string, digest long, at array<int>, value array<double>").collect()}
     taken = [rows[k] for k in sorted(rows)]
     patterns = [r["votes"] for r in taken]
     per_pattern = Counter(patterns)
