@@ -469,6 +469,11 @@ def test_label_model_finds_accuracies():
     assert abs(model.good - 0.7) < 0.03 and np.abs(model.accuracy - accuracy).max() < 0.04
 
 
+def test_shapes_are_of_whole_tokens():
+    facts = quality.facts_of("x" * 64 + "!" * 5000)
+    assert dict(facts.shapes) == {"l!+": 1} and facts.signs == facts.shouting == 1
+
+
 def test_patterns_of_copies_are_learned_from(spark, monkeypatch):
     """One text of each pattern, and patterns of 3,000 copies of one text."""
     seen = []

@@ -37,13 +37,14 @@ SAMPLE, OF_PATTERN = 8000, 2000
 BUCKETS, EPOCHS, RATE, SHRINK = 1 << 16, 300, 0.5, 1e-4
 #: Texts scoring less are rejected.
 THRESHOLD = 0.5
-_CACHE = 150_000
+#: Shapes that a worker keeps, and the longest token whose shape is kept.
+_CACHE, _CACHED_LENGTH = 150_000, 64
 
 
 def _shape(token: str) -> str:
     """Classes of a token's characters, runs folded; other signs stand for themselves."""
     out, last = [], ""
-    for c in token[:64]:
+    for c in token:
         k = "U" if c.isupper() else "l" if c.isalpha() else "9" if c.isdigit() else c
         if k != last:
             out.append(k)
@@ -56,6 +57,8 @@ def _shape(token: str) -> str:
 
 class _Shapes(dict):
     def __missing__(self, token: str) -> str:
+        if len(token) > _CACHED_LENGTH:
+            return _shape(token)
         if len(self) >= _CACHE:
             self.clear()
         out = self[token] = _shape(token)
