@@ -331,10 +331,35 @@ def plain_groups(rows):
 def test_near_duplicates(edges, nothing, edge_rows):
     out = near_dup.near_duplicates(edges).collect()
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out) == plain_groups(edge_rows)
-    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in out if r["doc_id"] is not None)
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in out)
     assert near_dup.near_duplicates(nothing).isEmpty()
 
 
+def test_rows_without_an_id_are_compared(spark):
+    words = [f"w{k}" for k in range(80)]
+    near, other = " ".join([*words[:78], "x", "y"]), " ".join(f"v{k}" for k in range(60))
+    rows = [(1, " ".join(words)), (None, near), (None, near), (None, other), (None, other + " z"), (7, "far away")]
+    out = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(tuple(r) for r in out) == Counter([(1, 76, 1, True), (None, 76, 1, False), (None, 76, 1, False), (None, 56, None, True), (None, 57, None, True), (7, 1, 7, True)])
+
+
+def test_one_row_of_a_group_stays(spark, edges, nothing, edge_rows):
+    base = " ".join(f"w{k}" for k in range(60))
+    rows = [(3, base, 1), (5, base + " more", 2), (5, "an unrelated text that stays", 3), (9, "twice", 4), (9, "twice", 4), (9, "Twice", 5), (None, "twice", 6), (4, None, 7), (4, None, 7), (None, base + " again", 8)]
+    out = near_dup.keep_one(spark.createDataFrame(rows, "doc_id long, text string, key int"))
+    kept = sorted((tuple(r) for r in out.collect()), key=str)
+    assert out.columns == ["doc_id", "text", "key"]
+    assert [r for r in kept if r[0] != 9] == sorted([(3, base, 1), (5, "an unrelated text that stays", 3), (4, None, 7), (4, None, 7)], key=str)
+    assert len([r for r in kept if r[0] == 9]) == 1
+    left = Counter(r["text"] for r in near_dup.keep_one(edges).collect())
+    groups = {}
+    for r in near_dup.near_duplicates(edges.select("doc_id", "text")).collect():
+        groups.setdefault(r["component_id"], []).append(r)
+    words = [t for _, t in edge_rows if (t or "").split()]
+    assert sum(left.values()) == len(edge_rows) - len(words) + len({g for g, of in groups.items() if of[0]["n_shingles"]}) and left[None] == 2
+    assert near_dup.keep_one(nothing).isEmpty()
+
+
 def variants(n, edits, seed):
     rng = random.Random(seed)
     base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
@@ -347,8 +372,12 @@ def variants(n, edits, seed):
     return rows
 
 
-def test_groups_larger_than_a_leaf_and_a_task(spark, monkeypatch):
-    for name, value in (("LEAF", 12), ("CLUSTER", 20), ("PART", 10), ("SHARED", 4), ("DEPTH", 3), ("SAMPLE", 8)):
+SMALL = (("LEAF", 12), ("CLUSTER", 20), ("PART", 10), ("SHARED", 4), ("DEPTH", 3), ("SAMPLE", 8))
+
+
+@pytest.mark.parametrize("settings", [SMALL, (*SMALL, ("HELD", 15), ("DRAWN", 10)), (*SMALL, ("HELD", 15), ("DRAWN", 10**6)), (("HELD", 40), ("LEAF", 20), ("CLUSTER_BYTES", 2000)), (("PART", 16), ("ONE_BY_ONE", 5), ("CHUNK", 64), ("LEAF", 40))])
+def test_groups_larger_than_a_leaf_and_a_task(spark, monkeypatch, settings):
+    for name, value in settings:
         monkeypatch.setattr(near_dup, name, value)
     shared = " ".join(f"s{k}" for k in range(30))
     rows = variants(90, 6, 1) + [(1000 + k, shared + " " + " ".join(f"u{k}x{j}" for j in range(80))) for k in range(60)]
@@ -360,7 +389,7 @@ def test_estimates_are_near_the_truth():
     rng = np.random.default_rng(0)
     x = np.unique(rng.integers(0, 2**63, 800).astype(np.uint64) * np.uint64(2))
     y = np.unique(np.concatenate([x[:720], rng.integers(0, 2**63, 80).astype(np.uint64) * np.uint64(2)]))
-    sketches = np.frombuffer(near_dup.sketch_of(near_dup.minwise_tokens(x)) + near_dup.sketch_of(near_dup.minwise_tokens(y)), np.uint8).reshape(2, -1)
+    sketches = np.frombuffer(near_dup.sketch_of(near_dup.minwise_tokens(x)).tobytes() + near_dup.sketch_of(near_dup.minwise_tokens(y)).tobytes(), np.uint8).reshape(2, -1)
     estimate, least = near_dup.similarities(sketches)
     assert abs(estimate[0, 1] - len(np.intersect1d(x, y)) / len(np.union1d(x, y))) < 0.09 and least[0, 1] < 0.75
 

@@ -1,47 +1,35 @@
-"""Connected components of an edge table by alternating large-star and small-star steps.
+"""Connected components of an edge table by alternating small-star and large-star steps.
 
-Each step replaces edges by edges to smaller nodes of the same component, until every node
-points at its component's smallest. Steps are joins and grouped minima over the edge table;
-only its size and a hash come to the driver, to tell whether it has settled.
+A round replaces edges by edges to smaller nodes of the same component, until every node
+points at its component's smallest. The small-star step is a window over a node's smaller
+neighbours; the large-star step is a join, which leaves the neighbours of a node that has no
+smaller one as they are and can be split where a node is a hub. Only a flag comes to the driver.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.plans.scratch import materialize, release
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Connect each node's larger neighbours to the smallest of the node and its neighbours."""
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
-    return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v"))
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Connect each node and its smaller neighbours to the smallest of them."""
-    low = edges.groupBy("u").agg(F.min("v").alias("low"))
-    moved = edges.join(low, "u").where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
-    return moved.union(low.select("u", F.col("low").alias("v"))).distinct()
-
-
-def _mark(edges: DataFrame) -> tuple[int, int]:
-    """A number of edges and a hash of all, which stay once no edge moves."""
-    row = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).first()
-    return row["n"], row["h"] or 0
+def _round(edges: DataFrame) -> DataFrame:
+    """u, v and whether the edge is new: each edge's ends (u > v) pointed at the smallest neighbours known, first of u, then of v."""
+    of_u = Window.partitionBy("u")
+    small = edges.select("u", "v").distinct().select("u", "v", F.min("v").over(of_u).alias("low"))
+    moved = F.col("v") != F.col("low")
+    small = small.select(F.when(moved, F.col("v")).otherwise(F.col("u")).alias("u"), F.col("low").alias("v"), moved.alias("new"))
+    low = small.groupBy("u").agg(F.min("v").alias("low")).select(F.col("u").alias("v"), "low")
+    return small.join(low, "v", "left").select("u", F.coalesce("low", "v").alias("v"), (F.col("new") | F.col("low").isNotNull()).alias("new"))
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node`` and ``root`` (smallest node of its component) of every node with an edge, but for the roots themselves."""
-    state = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    before, settled = None, False
-    while not settled:
-        after = materialize(_small_star(_large_star(state)), "edges")
-        if before is not None:
-            release(state)
-        mark = _mark(after)
-        settled = mark == before or mark[0] == 0
-        state, before = after, mark
-    return state.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    state = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
+    while True:
+        after = materialize(_round(state), "edges")
+        release(state)
+        state = after
+        if not state.agg(F.max("new")).first()[0]:
+            return state.select(F.col("u").alias("node"), F.col("v").alias("root"))
