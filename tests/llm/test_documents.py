@@ -1,6 +1,7 @@
 """Operators over documents against plain forms of the same, on rows with every odd case."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -178,13 +179,79 @@ def test_bm25_finds_what_a_full_comparison_finds():
         return idf[term] * tf * (packing.K1 + 1) / (tf + shrink) if tf else 0.0
 
     for seed in range(40):
-        terms = sorted((t for t in set(docs[seed].tolist()) if idf[t] > 0 and frequency[t] > 1), key=lambda t: (-np.float32(weight(t, seed)), t))[: packing.QUERY_TERMS]
-        scores = np.array([sum(weight(t, d) for t in terms) for d in range(40)])
+        scores = np.array([sum(weight(t, d) for t in set(docs[seed].tolist())) for d in range(40)])
         unused = np.ones(40, np.float32)
         unused[seed] = 0
-        found = index.neighbours(seed, unused)
-        best = sorted((d for d in range(40) if d != seed and scores[d] > 0), key=lambda d: -scores[d])[: packing.NEIGHBOURS]
-        assert np.allclose(sorted(scores[found]), sorted(scores[best]), rtol=1e-4)
+        found = list(index.neighbours(seed, unused))
+        best = sorted((d for d in range(40) if d != seed and scores[d] > 0), key=lambda d: -scores[d])
+        assert sorted(found) == sorted(best) and np.allclose(scores[found], scores[best], rtol=1e-4)
+
+
+def plain_packing(docs, documents, mean, frequency):
+    """Pieces by the rules, one document after the other: (document, start, length, sequence, offset)."""
+    n = len(docs)
+    counts = [Counter(d) for d in docs]
+
+    def score(seed, d):
+        out = 0.0
+        for t in sorted(counts[seed]):
+            if tf := counts[d][t]:
+                idf = math.log1p((documents - frequency[t] + 0.5) / (frequency[t] + 0.5))
+                out += idf * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(docs[d]) / mean))
+        return out
+
+    left, order, room, ranked, seed = list(range(n)), [], 0, [], None
+    while left:
+        if room == 0:
+            ranked = []
+        elif seed is not None:
+            scored = [(d, score(seed, d)) for d in left]
+            ranked, seed = [d for d, s in sorted(scored, key=lambda x: (-round(x[1], 4), x[0])) if s > 0], None
+        doc = ranked.pop(0) if ranked else left[0]
+        left.remove(doc)
+        order.append(doc)
+        if room == 0 or len(docs[doc]) >= room:
+            seed = doc
+        room = (room - len(docs[doc])) % packing.WINDOW
+    stream = [(d, k) for d in order for k in range(len(docs[d]))]
+    rooms = [packing.WINDOW] * (len(stream) // packing.WINDOW)
+    rest = len(stream) % packing.WINDOW
+    rooms += [1 << k for k in range(10, -1, -1) if rest >> k & 1]
+    pieces, at = [], 0
+    for sequence, size in enumerate(rooms):
+        for offset, (d, k) in enumerate(stream[at : at + size]):
+            if pieces and pieces[-1][0] == d and pieces[-1][3] == sequence and pieces[-1][1] + pieces[-1][2] == k:
+                pieces[-1][2] += 1
+            else:
+                pieces.append([d, k, 1, sequence, offset])
+        at += size
+    return sorted(map(tuple, pieces))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_packing_equals_a_plain_one(seed):
+    rng = np.random.default_rng(seed)
+    docs = [rng.integers(0, 600, rng.integers(1, 90 if seed % 2 else 1600)) + 300 * rng.integers(0, 3) for _ in range(70)]
+    docs += [docs[3], docs[3], docs[8]]
+    frequency = np.zeros(1200, np.int64)
+    for d in docs:
+        frequency[np.unique(d)] += 1
+    ends = np.cumsum([len(d) for d in docs])
+    stats = packing.TermStatistics(len(docs), ends[-1] / len(docs), frequency)
+    made = packing.pack_shard([len(d) for d in docs], packing.InvertedIndex(np.concatenate(docs), ends, stats))
+    assert sorted(zip(made.doc, made.start, made.length, made.sequence, made.offset, strict=True)) == plain_packing([d.tolist() for d in docs], len(docs), stats.mean_tokens, frequency)
+
+
+def test_splits_keep_like_vectors_together():
+    rng = np.random.default_rng(1)
+    vectors = np.repeat(rng.standard_normal((20, packing.PROJECTIONS)), 50, 0) + 0.01 * rng.standard_normal((1000, packing.PROJECTIONS))
+    tree = packing.learn_tree(vectors, np.ones(1000), 130)
+    leaves = tree.leaves(vectors)
+    sizes = np.unique(leaves, return_counts=True)[1]
+    assert sizes.sum() == 1000 and sizes.max() <= 130 and len(sizes) >= 8
+    assert sum(len(set(leaves[k : k + 50])) > 1 for k in range(0, 1000, 50)) <= 8
+    assert len(packing.learn_tree(vectors[:1].repeat(90, 0), np.ones(90), 10).below) == 1
+    assert packing.learn_tree(np.zeros((0, packing.PROJECTIONS)), np.zeros(0), 10).leaves(np.zeros((0, packing.PROJECTIONS))).size == 0
 
 
 def bm25_index(docs, terms):
@@ -212,14 +279,17 @@ def test_copies_in_over_a_quarter_of_the_documents_are_neighbours():
     docs = [np.arange(20) if k % 3 == 0 else np.arange(20 + 20 * k, 40 + 20 * k) for k in range(30)]
     unused = np.ones(30, np.float32)
     unused[0] = 0
-    assert bm25_index(docs, 700).neighbours(0, unused) == list(range(3, 30, 3))
+    assert list(bm25_index(docs, 700).neighbours(0, unused)) == list(range(3, 30, 3))
 
 
-def test_hot_terms_are_split_over_shards(spark, monkeypatch):
-    monkeypatch.setattr(packing, "SHARD_TOKENS", 500)
-    df = spark.createDataFrame([(i, f"the same words again and again {i}") for i in range(300)], "doc_id long, text string")
+@pytest.mark.parametrize("row", [(0, ""), (1, " {}")])
+def test_copies_are_split_over_shards(spark, monkeypatch, row):
+    """Rows with one id and text, or alike ones."""
+    monkeypatch.setattr(packing, "SHARD_DOCUMENTS", 50)
+    df = spark.createDataFrame([(i * row[0], "the same words again and again" + row[1].format(i)) for i in range(300)], "doc_id long, text string")
     out = packing.pack_documents(df, BYTE, with_ids=False).toPandas()
-    assert (out.sequence_id // 2**32).nunique() > 3 and out.groupby("doc_id").length.sum().tolist() == out.groupby("doc_id").doc_tokens.first().tolist()
+    documents = out[out.start == 0].groupby(out.sequence_id // 2**32).size()
+    assert len(documents) >= 6 and documents.max() < 90 and documents.sum() == 300 and out.length.sum() == out[out.start == 0].doc_tokens.sum()
 
 
 def test_byte_level_ids_equal_the_library():

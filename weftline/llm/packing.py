@@ -1,25 +1,32 @@
 """Lexical retrieval packing: BM25 neighbours of a seed document fill its window.
 
 Terms are token ids, so term statistics have at most a row a vocabulary entry. Documents go
-to index shards by their rarest term (the highest id of the vocabulary, whose merges come in
-order of falling frequency): small terms share a shard, a term with more than
-``SHARD_TOKENS`` tokens is split over several by a hash of its documents, so no shard grows
-with the corpus. Each shard builds an inverted index of its documents, weighted by document
-frequencies over the whole corpus. Taking documents in order, a seed fills windows of
+to index shards by what they are about: the weights of a document's terms are projected on
+``PROJECTIONS`` fixed random directions, and a tree of splits, learned from a bounded sample
+of these vectors, sends lexically close documents to one shard. Each shard builds an inverted
+index of its documents, weighted by document frequencies over the whole corpus: postings of
+each term, and for the terms that most documents of a shard share a matrix, which is the
+cheaper form of the same sums. Taking documents in order, a seed fills windows of
 ``WINDOW`` ids; the room left after its end goes to its best unused neighbours, and a
 neighbour that is cut goes on as the seed of the next window. The last, partial window of a
 shard is written as sequences whose lengths are powers of two, which need no padding.
 
+All terms of a seed count, and neighbours are ranked until the window is full or none is
+left that shares a term. A neighbour is looked for in the seed's own shard.
+
 Rules: a null text is empty; a document's ids end with ``end_id``, so none is without ids;
 each id lies in exactly one piece; repeated rows are packed separately; an empty table gives
-no pieces; extra columns are ignored.
+no pieces; extra columns are ignored. A leaf of the tree that is too large for one shard, as
+copies make it, is dealt over several by row.
 """
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +38,16 @@ from weftline.llm.caches import bounded
 from weftline.plans.scratch import new_path
 
 WINDOW = 1024
-#: Tokens of one index shard, which a task holds in memory.
-SHARD_TOKENS = 2_000_000
+#: Documents of one index shard, which a task holds in memory; a document counts as one for each DOCUMENT_TOKENS tokens or part of them.
+SHARD_DOCUMENTS, DOCUMENT_TOKENS = 2048, 1024
+#: Directions that term weights are projected on, and documents of the sample that the tree of splits is learned from, in all and least in a leaf.
+PROJECTIONS, DRAWN, LEAST_DRAWN = 32, 32768, 16
+#: Share of a shard's documents from which a term is held in a matrix.
+DENSE_SHARE = 0.13
 #: BM25's constants.
 K1, B = 1.2, 0.75
-#: Bounds on the seed's terms in a query and on its neighbours: none, all terms and all ranked neighbours count.
-QUERY_TERMS = NEIGHBOURS = None
+#: Neighbours that are sorted first; the next ones are sorted when these are used up.
+FIRST_RANKED = 8
 
 
 @dataclass
@@ -61,29 +72,46 @@ class InvertedIndex:
         lengths = np.diff(ends, prepend=0)
         doc = np.repeat(np.arange(n, dtype=np.int64), lengths)
         keys, counts = np.unique(ids.astype(np.int64) * n + doc, return_counts=True)
-        terms, docs = keys // n, (keys % n).astype(np.int32)
+        terms, docs = keys // n, keys % n
         shrink = K1 * (1 - B + B * lengths / max(1.0, statistics.mean_tokens))
-        weights = (idf[terms] * counts * (K1 + 1) / (counts + shrink[docs])).astype(np.float32)
+        weights = idf[terms].astype(np.float64) * counts * (K1 + 1) / (counts + shrink[docs])
         edges = np.flatnonzero(np.diff(terms, prepend=-1, append=-1))
-        self.first, self.last = edges[:-1], edges[1:]
+        sizes = np.diff(edges)
+        place = np.repeat(np.arange(len(sizes)), sizes)
+        dense = sizes >= max(2, DENSE_SHARE * n)
+        column = np.cumsum(dense) - 1
+        held = dense[place]
+        matrix = np.zeros((n, int(dense.sum())), np.float32)
+        matrix[docs[held], column[place[held]]] = weights[held]
+        #: Scores by the terms held in the matrix: of all documents (columns) for each seed (rows).
+        self.common = (matrix > 0).astype(np.float32) @ matrix.T
         self.docs, self.weights = docs, weights
-        shared = np.repeat(self.last - self.first > 1, self.last - self.first)
-        place = np.repeat(np.arange(len(self.first)), self.last - self.first)
-        # Terms of each document by falling weight; a term of one document finds no neighbour.
-        entry = np.flatnonzero(shared)
-        entry = entry[np.lexsort((place[entry], -weights[entry], docs[entry]))]
-        self.terms, self.of_doc = place[entry], np.searchsorted(docs[entry], np.arange(n + 1))
-
-    def neighbours(self, seed: int, unused: np.ndarray, most: int | None = NEIGHBOURS) -> list[int]:
-        """Unused documents by falling BM25 score for all of the seed's terms, then by place; the first ``most`` of them if given."""
-        at = self.terms[self.of_doc[seed] : self.of_doc[seed + 1]][:QUERY_TERMS]
-        first, counts = self.first[at], self.last[at] - self.first[at]
-        entry = np.arange(counts.sum()) + np.repeat(first - np.cumsum(counts) + counts, counts)
-        scores = np.bincount(self.docs[entry], self.weights[entry], self.size) * unused
-        found = np.flatnonzero(scores)
-        if most is not None and len(found) > most:
-            found = found[scores[found] >= np.partition(scores[found], -most)[-most]]
-        return found[np.argsort(-scores[found], kind="stable")][:most].tolist()
+        # Postings of each document's other terms; a term of one document finds no neighbour.
+        entry = np.flatnonzero(~held & (sizes > 1)[place])
+        entry = entry[np.argsort(docs[entry], kind="stable")]
+        self.first, self.last = edges[:-1][place[entry]].tolist(), edges[1:][place[entry]].tolist()
+        self.of_doc = np.searchsorted(docs[entry], np.arange(n + 1)).tolist()
+
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 score of every document for all terms of the seed."""
+        mine = slice(self.of_doc[seed], self.of_doc[seed + 1])
+        lists = list(map(slice, self.first[mine], self.last[mine]))
+        if not lists:
+            return self.common[seed].astype(np.float64)
+        docs, weights = (np.concatenate([x[part] for part in lists]) for x in (self.docs, self.weights))
+        return np.bincount(docs, weights, self.size) + self.common[seed]
+
+    def neighbours(self, seed: int, unused: np.ndarray) -> Iterator[int]:
+        """Unused documents that share a term with the seed, by falling score, then by place."""
+        scores, most = self.scores(seed) * unused, FIRST_RANKED
+        while True:
+            least = np.partition(scores, self.size - most)[self.size - most] if most < self.size else 0.0
+            found = np.flatnonzero(scores >= least) if least > 0 else np.flatnonzero(scores)
+            yield from found[np.argsort(-scores[found], kind="stable")].tolist()
+            if least <= 0:
+                return
+            scores[found] = 0
+            most *= 8
 
 
 @dataclass
@@ -107,18 +135,15 @@ class Pieces:
 def pack_order(lengths: list[int], index: InvertedIndex) -> Iterator[int]:
     """Documents in the order in which they fill windows: a seed, its neighbours while its window has room, and so on."""
     unused = np.ones(len(lengths), np.float32)
-    filled, cursor, seed, queue = 0, 0, -1, []
+    filled, cursor, seed = 0, 0, -1
+    ranked: Iterator[int] = iter(())
     for _ in range(len(lengths)):
         if filled == 0:
-            queue = []
+            ranked = iter(())
         elif seed >= 0:
-            # Every document has an id, so as many neighbours as ids are missing always fill the window.
-            queue, seed = index.neighbours(seed, unused, WINDOW - filled)[::-1], -1
-        while queue and not unused[queue[-1]]:
-            queue.pop()
-        if queue:
-            doc = queue.pop()
-        else:
+            ranked, seed = index.neighbours(seed, unused), -1
+        doc = next(ranked, -1)
+        if doc < 0:
             while not unused[cursor]:
                 cursor += 1
             doc = cursor
@@ -146,33 +171,41 @@ def pack_shard(lengths: list[int], index: InvertedIndex) -> Pieces:
     return pieces
 
 
-def _tokens_with_terms(df: DataFrame, vocab_path: str, end_id: int) -> DataFrame:
-    """Scratch table by ``kind``: documents (ids and rarest term), and for each task one row of document frequencies."""
+@lru_cache(1)
+def _directions(size: int) -> np.ndarray:
+    """A row a term: its random signs, times how rare terms of its rank are taken to be (merges come in order of falling frequency)."""
+    signs = np.random.default_rng(11).integers(0, 2, (size, PROJECTIONS)).astype(np.float32) * 2 - 1
+    return signs * np.log1p(np.arange(size, dtype=np.float32))[:, None]
+
+
+def _tokens_with_vectors(df: DataFrame, vocab_path: str, end_id: int) -> DataFrame:
+    """Scratch table by ``kind``: documents (ids and projected term weights), and for each task one row of document frequencies."""
     kind = df.schema["doc_id"].dataType.simpleString()
     size = max(vocab.encoder(vocab_path).vocab_size, end_id + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = vocab.encoder(vocab_path)
+        enc, directions = vocab.encoder(vocab_path), _directions(size)
         end = np.array([end_id], enc.dtype).tobytes()
         frequency, seen = np.zeros(size, np.int64), np.zeros(size, bool)
-        names = ["doc_id", "n_tokens", "term", "ids", "kind"]
+        names = ["doc_id", "n_tokens", "vector", "ids", "kind"]
         for batch in batches:
-            ids, terms = [], []
-            for text in batch.column(1):
+            ids, vectors = [], np.zeros((batch.num_rows, PROJECTIONS), np.float32)
+            for k, text in enumerate(batch.column(1)):
                 ids.append(enc.encode(text.as_py() or "") + end)
                 own = np.frombuffer(ids[-1], enc.dtype)
                 seen[own] = True
                 distinct = np.flatnonzero(seen)
                 seen[own] = False
                 frequency[distinct] += 1
-                terms.append(int(distinct[-1]))
+                vectors[k] = directions[distinct].sum(0)
+            vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
             counts = pa.array([len(x) // enc.dtype.itemsize for x in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), counts, pa.array(terms, pa.int32()), pa.array(ids, pa.binary()), pa.array(["doc"] * len(ids), pa.string())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), counts, pa.array(map(bytes, vectors.astype(np.float16)), pa.binary()), pa.array(ids, pa.binary()), pa.array(["doc"] * len(ids), pa.string())], names)
         if frequency.any():
             nothing = pa.nulls(1, batch.schema.field(0).type)
-            yield pa.RecordBatch.from_arrays([nothing, pa.array([0], pa.int64()), pa.array([0], pa.int32()), pa.array([frequency.tobytes()], pa.binary()), pa.array(["frequency"])], names)
+            yield pa.RecordBatch.from_arrays([nothing, pa.array([0], pa.int64()), pa.nulls(1, pa.binary()), pa.array([frequency.tobytes()], pa.binary()), pa.array(["frequency"])], names)
 
-    rows = bounded(df).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, term int, ids binary, kind string")
+    rows = bounded(df).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, vector binary, ids binary, kind string")
     path = new_path(df.sparkSession, "packing-tokens")
     rows.write.partitionBy("kind").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(rows.schema).parquet(path)
@@ -195,35 +228,115 @@ def _statistics(tokens: DataFrame, size: int) -> TermStatistics:
     return TermStatistics(docs, (total or 0) / max(1, docs), frequency)
 
 
-def _shards_of_terms(tokens: DataFrame) -> list[tuple[int, int, int]]:
-    """(term, first shard, shards) of every term that is a document's rarest; at most a row a vocabulary entry."""
-    sums = tokens.where("kind = 'doc'").groupBy("term").agg(F.sum("n_tokens").alias("n")).orderBy("term").collect()
-    out, shard, room = [], 0, SHARD_TOKENS
-    for row in sums:
-        if row["n"] > SHARD_TOKENS:
-            parts = -(-row["n"] // SHARD_TOKENS)
-            shard += room < SHARD_TOKENS
-            out.append((row["term"], shard, parts))
-            shard, room = shard + parts, SHARD_TOKENS
+@dataclass
+class SplitTree:
+    """Binary splits of vectors by a direction and a bound; a node without children is a leaf."""
+
+    directions: np.ndarray
+    bounds: np.ndarray
+    below: np.ndarray
+
+    def leaves(self, vectors: np.ndarray) -> np.ndarray:
+        """The node at which each vector ends."""
+        node = np.zeros(len(vectors), np.int64)
+        while True:
+            inner = np.flatnonzero(self.below[node] >= 0)
+            if not len(inner):
+                return node
+            at = node[inner]
+            right = _line(vectors[inner], self.directions[at]) > self.bounds[at]
+            node[inner] = self.below[at] + right
+
+
+def _line(vectors: np.ndarray, directions: np.ndarray) -> np.ndarray:
+    """Projection of each vector on its direction, in steps that rounding can't part."""
+    return np.round(np.einsum("ij,ij->i", vectors, directions), 5)
+
+
+def learn_tree(vectors: np.ndarray, weights: np.ndarray, most: float) -> SplitTree:
+    """Split rows by their widest direction at the middle of their weight, until a leaf weighs ``most`` or has too few rows to be split."""
+    directions, bounds, below, members = [], [], [], [np.arange(len(vectors))]
+    for node in itertools.count():
+        if node == len(members):
+            return SplitTree(np.array(directions).reshape(-1, vectors.shape[1]), np.array(bounds), np.array(below, np.int64))
+        rows = members[node]
+        directions.append(np.zeros(vectors.shape[1]))
+        bounds.append(0.0)
+        below.append(-1)
+        if weights[rows].sum() <= most or len(rows) < 2 * LEAST_DRAWN:
+            continue
+        direction = np.linalg.eigh(np.cov(vectors[rows], rowvar=False, aweights=weights[rows]))[1][:, -1]
+        line = _line(vectors[rows], np.broadcast_to(direction, (len(rows), len(direction))))
+        order = np.argsort(line, kind="stable")
+        middle = np.searchsorted(np.cumsum(weights[rows][order]), weights[rows].sum() / 2)
+        bound = line[order][min(middle, len(rows) - 1)]
+        if not (line > bound).any():
+            bound -= 1e-6  # the upper half is one value
+        right = line > bound
+        if right.all() or not right.any():
             continue
-        if row["n"] > room:
-            shard, room = shard + 1, SHARD_TOKENS
-        out.append((row["term"], shard, 1))
-        room -= row["n"]
-    return out
+        directions[node], bounds[node], below[node] = direction, bound, len(members)
+        members += [rows[~right], rows[right]]
+
+
+def _size(n_tokens: np.ndarray) -> np.ndarray:
+    """As how many documents of a shard documents of so many tokens count."""
+    return -(-n_tokens // DOCUMENT_TOKENS)
+
+
+def _tree(documents: DataFrame, count: int) -> SplitTree:
+    """Learned from about DRAWN rows."""
+    rate = max(1, -(-count // DRAWN))
+    rows = documents.where(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(rate)) == 0).select("vector", "n_tokens").collect()
+    vectors = np.frombuffer(b"".join(r["vector"] for r in rows), np.float16).reshape(-1, PROJECTIONS).astype(np.float64)
+    return learn_tree(vectors, _size(np.array([r["n_tokens"] for r in rows], np.int64)).astype(np.float64) * rate, SHARD_DOCUMENTS)
+
+
+def _vectors(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float16).reshape(-1, PROJECTIONS).astype(np.float64)
+
+
+def _shards_of_leaves(documents: DataFrame, tree: SplitTree) -> tuple[np.ndarray, np.ndarray]:
+    """First shard and number of shards of each node of the tree, by the sizes of all documents in its leaves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(tree.below), np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                np.add.at(total, tree.leaves(_vectors(batch.column(0))), _size(batch.column(1).to_numpy()))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["leaf", "n"])
+
+    sums = documents.select("vector", "n_tokens").mapInArrow(run, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).collect()
+    parts = np.zeros(len(tree.below), np.int64)
+    for row in sums:  # a row a leaf at most, and these come from a bounded sample
+        parts[row["leaf"]] = -(-row["n"] // SHARD_DOCUMENTS)
+    return np.cumsum(parts) - parts, parts
+
+
+def _sharded(documents: DataFrame, tree: SplitTree) -> DataFrame:
+    """doc_id, ids and shard of every document."""
+    first, parts = _shards_of_leaves(documents, tree)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                leaf = tree.leaves(_vectors(batch.column("vector")))
+                part = batch.column("row").to_numpy() % parts[leaf]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(first[leaf] + part)], ["doc_id", "ids", "shard"])
+
+    numbered = documents.select("doc_id", "ids", "vector", F.abs(F.xxhash64(F.monotonically_increasing_id())).alias("row"))
+    return numbered.mapInArrow(run, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, ids binary, shard long")
 
 
 def pack_documents(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, with_ids: bool = True) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and the ids as little-endian unsigned 32-bit integers unless left out."""
-    spark = df.sparkSession
     enc = vocab.encoder(vocab_path)
     dtype = enc.dtype
-    tokens = _tokens_with_terms(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), vocab_path, end_id)
+    tokens = _tokens_with_vectors(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), vocab_path, end_id)
     statistics = _statistics(tokens, max(enc.vocab_size, end_id + 1))
-    placed = _shards_of_terms(tokens)
-    terms = spark.createDataFrame(placed, "term int, first_shard long, parts long")
-    part = F.pmod(F.xxhash64("doc_id", "n_tokens", F.crc32("ids")), F.col("parts"))
-    documents = tokens.where("kind = 'doc'").join(F.broadcast(terms), "term").select("doc_id", "ids", (F.col("first_shard") + part).alias("shard"))
+    placed = tokens.where("kind = 'doc'")
+    documents = _sharded(placed, _tree(placed, statistics.documents))
     kind = df.schema[id_col].dataType.simpleString()
 
     def pack(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:

@@ -1,14 +1,18 @@
 """Document fingerprints from closed syncmers, in DataFrame operations only.
 
-A text is a sequence of tokens: its white-space separated words, each ideograph or kana
-standing alone. A run of ``K`` tokens is a closed syncmer if the smallest hash of its inner
-runs (single tokens here) lies at its first or last place. Whether a run is chosen depends
-on that run alone, so equal passages give equal anchors whatever stands around them.
-
-* ``anchors``: every chosen run with its place, for positional matching;
-* ``fingerprint``: the ``SKETCH`` smallest distinct anchor hashes of the whole text;
-* ``likeness``: the share of common hashes among the ``SKETCH`` smallest of both, an
-  estimate of the anchor sets' Jaccard similarity.
+A text is a sequence of tokens: its white-space separated words, of which those over
+``LONG_WORD`` characters, and the characters of scripts written without spaces, are taken by
+character. A run of ``K`` tokens is a closed syncmer if the smallest hash of its inner runs
+(single tokens here) lies at its first or last place. Whether a run is chosen depends on that
+run alone, so equal passages give equal anchors whatever stands around them. Texts under
+``SHORT`` characters have anchors over their characters as well, as they have few words.
+
+* ``anchors``: every chosen run of words with its place, for positional matching;
+* a fingerprint: all anchors of the whole text with their places, in order;
+* ``likeness``: anchors are matched by what they are and by their places to each other. Two
+  neighbouring anchors and their distance are a link; the likeness is the share of links that
+  two fingerprints have in common among those of either, so a passage counts wherever it
+  stands, and shared words in another order don't.
 
 Rules: null and token-free texts have the empty fingerprint, which is fully like itself and
 not at all like any other; a text of fewer than ``K`` tokens, or without a chosen run, has
@@ -24,20 +28,28 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-K, SKETCH = 5, 128
+K = 5
+#: Words over so many characters are taken by character; texts under so many are also.
+LONG_WORD, SHORT = 32, 512
 #: Scripts written without spaces: each character is a token.
-_ALONE = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}])"
-#: Text bytes of one range of ids, and the most ranges, whose bounds are held on the driver.
-RANGE_BYTES, MOST_RANGES = 8 << 20, 1 << 16
+_ALONE = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsKhmer}\p{IsLao}\p{IsMyanmar}])"
+#: Text bytes of one range of ids, the ranges whose bounds are looked up at once, and the most, whose bounds the driver holds.
+RANGE_BYTES, RANGES, MOST_RANGES = 8 << 20, 4096, 1 << 16
 
 
-def _tokens(text: Column) -> Column:
+def _words(text: Column) -> Column:
     spaced = F.when(text.rlike(_ALONE), F.regexp_replace(text, _ALONE, " $1 ")).otherwise(text)
     return F.filter(F.split(spaced, r"\s+"), lambda w: w != "")
 
 
-def _with_hashes(df: DataFrame, text: Column, hashes: str) -> DataFrame:
-    return df.withColumn(hashes, F.transform(_tokens(F.coalesce(text, F.lit(""))), lambda w: F.xxhash64(w)))
+def _tokens(words: Column) -> Column:
+    """Words, the long ones by character."""
+    cut = F.flatten(F.transform(words, lambda w: F.when(F.length(w) > LONG_WORD, F.split(w, "")).otherwise(F.array(w))))
+    return F.when(F.exists(words, lambda w: F.length(w) > LONG_WORD), cut).otherwise(words)
+
+
+def _characters(text: Column) -> Column:
+    return F.filter(F.split(text, ""), lambda c: ~c.rlike(r"^\s?$"))
 
 
 def _with_lowest(df: DataFrame, hashes: str, out: str) -> DataFrame:
@@ -59,46 +71,70 @@ def _is_syncmer(hashes: Column, low: Column, i: Column) -> Column:
     return (F.get(hashes, i) == low) | (F.get(hashes, i + (K - 1)) == low)
 
 
-def with_sketch(df: DataFrame, text: Column, out: str) -> DataFrame:
-    """Add the sorted array of the smallest anchor hashes (31 bits each) of ``text``."""
+def _with_anchors(df: DataFrame, tokens: Column, out: str) -> DataFrame:
+    """Add the array of (position, anchor) of every closed syncmer of the tokens, or of all of them together."""
     h, low, chosen = f"{out}_h", f"{out}_low", f"{out}_chosen"
-    df = _with_lowest(_with_hashes(df, text, h), h, low)
-    picked = F.transform(F.col(low), lambda m, i: F.when(_is_syncmer(F.col(h), m, i), _run_hash(F.col(h), i).bitwiseAND(0x7FFFFFFF).cast("int")))
-    df = df.withColumn(chosen, F.array_compact(F.coalesce(picked, F.array().cast("array<int>"))))
-    whole = F.when(F.size(h) == 0, F.array().cast("array<int>")).otherwise(F.array(F.xxhash64(h).bitwiseAND(0x7FFFFFFF).cast("int")))
-    sketch = F.when(F.size(chosen) == 0, whole).otherwise(F.slice(F.sort_array(F.array_distinct(chosen)), 1, SKETCH))
-    return df.withColumn(out, sketch).drop(h, low, chosen)
+    df = _with_lowest(df.withColumn(f"{out}_tokens", tokens).withColumn(h, F.transform(_tokens(F.col(f"{out}_tokens")), lambda w: F.xxhash64(w))), h, low)
+    found = F.transform(F.col(low), lambda m, i: F.when(_is_syncmer(F.col(h), m, i), F.struct(i.alias("position"), _run_hash(F.col(h), i).alias("anchor"))))
+    kind = "array<struct<position:int,anchor:bigint>>"
+    df = df.withColumn(chosen, F.coalesce(F.array_compact(found).cast(kind), F.array().cast(kind)))
+    whole = F.array(F.struct(F.lit(0).alias("position"), F.xxhash64(h).alias("anchor"))).cast(kind)
+    anchors = F.when(F.size(chosen) > 0, F.col(chosen)).when(F.size(h) > 0, whole).otherwise(F.array().cast(kind))
+    return df.withColumn(out, anchors).drop(h, low, chosen, f"{out}_tokens")
+
+
+def with_fingerprint(df: DataFrame, text: Column, out: str) -> DataFrame:
+    """Add a struct of the anchors of ``text`` by words and, if it is short, by characters."""
+    words, characters = f"{out}_words", f"{out}_characters"
+    df = _with_anchors(df, _words(text), words)
+    df = _with_anchors(df, F.when(F.length(text) < SHORT, _characters(text)).otherwise(F.array().cast("array<string>")), characters)
+    return df.withColumn(out, F.struct(F.col(words).alias("words"), F.col(characters).alias("characters"))).drop(words, characters)
+
+
+def links(fingerprint: Column) -> Column:
+    """Hashes of neighbouring anchors and their distance; of the anchor alone if there is one."""
+
+    def of(anchors: Column, kind: int) -> Column:
+        n = F.size(anchors)
+        pairs = F.zip_with(F.slice(anchors, 1, F.greatest(n - 1, F.lit(0))), F.slice(anchors, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.xxhash64(F.lit(kind), a["anchor"], b["anchor"], b["position"] - a["position"]))
+        return F.when(n == 1, F.transform(anchors, lambda a: F.xxhash64(F.lit(kind), a["anchor"]))).otherwise(pairs)
+
+    return F.concat(of(fingerprint["words"], 0), of(fingerprint["characters"], 1))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of common hashes among the SKETCH smallest of both sketches, 0 to 1."""
-    union = F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH)
-    common = F.size(F.array_intersect(F.array_intersect(a, b), union))
-    return F.when(F.size(union) == 0, 1.0).otherwise(common / F.size(union)).cast("double")
+    """Share of common ones among the links of either, 0 to 1."""
+    either = F.size(F.array_union(a, b))
+    return F.when(either == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / either).cast("double")
+
+
+def as_text(fingerprint: Column) -> Column:
+    """A fingerprint as position:anchor (its low 32 bits) in lower-case hex, comma-joined; those over characters after a semicolon."""
 
+    def of(anchors: Column) -> Column:
+        return F.array_join(F.transform(anchors, lambda a: F.lower(F.concat(F.hex(a["position"]), F.lit(":"), F.lpad(F.hex(a["anchor"].bitwiseAND(0xFFFFFFFF)), 8, "0")))), ",")
 
-def as_text(sketch: Column) -> Column:
-    """A sketch as lower-case hex, eight digits a hash."""
-    return F.array_join(F.transform(sketch, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
+    return F.concat(of(fingerprint["words"]), F.when(F.size(fingerprint["characters"]) > 0, F.concat(F.lit(";"), of(fingerprint["characters"]))).otherwise(""))
 
 
 def anchors(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``position`` (token number) and ``anchor`` (64-bit hash) of every closed syncmer of every text."""
-    h, low = "anchor_h", "anchor_low"
-    df = _with_lowest(_with_hashes(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), F.col("text"), h), h, low)
-    found = F.transform(F.col(low), lambda m, i: F.when(_is_syncmer(F.col(h), m, i), F.struct(i.cast("long").alias("position"), _run_hash(F.col(h), i).alias("anchor"))))
-    return df.select("doc_id", F.explode(F.array_compact(found)).alias("a")).select("doc_id", "a.position", "a.anchor")
+    """``doc_id``, ``position`` (token number) and ``anchor`` (64-bit hash) of every closed syncmer of every text, or of a text without one."""
+    texts = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return _with_anchors(texts, _words(F.col("text")), "a").select("doc_id", F.explode("a").alias("a")).select("doc_id", F.col("a.position").cast("long").alias("position"), "a.anchor")
 
 
 def _ranges(df: DataFrame, id_col: str, text_col: str) -> list[int]:
     """Ids at which ranges of about RANGE_BYTES of text begin; at most MOST_RANGES of them."""
-    size = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    count = min(MOST_RANGES, size // RANGE_BYTES + 1)
-    if count < 2:
-        return []
-    shares = [k / count for k in range(1, count)]
-    found = df.agg(F.percentile_approx(id_col, F.from_json(F.lit(json.dumps(shares)), "array<double>"), F.lit(10 * count)).alias("at")).first()["at"]
-    return sorted(set(found or []))
+
+    def shares(count: int) -> Column:
+        return F.percentile_approx(id_col, F.from_json(F.lit(json.dumps([k / count for k in range(1, count)])), "array<double>"), F.lit(10 * count))
+
+    size, found = df.agg(F.sum(F.octet_length(text_col)), shares(RANGES)).first()
+    count = min(MOST_RANGES, (size or 0) // RANGE_BYTES + 1)
+    if count > RANGES:
+        found = df.agg(shares(count)).first()[0]
+    every = max(1, RANGES // count) if count <= RANGES else 1
+    return sorted(set((found or [])[every - 1 :: every])) if count > 1 else []
 
 
 def _range_of(value: Column, bounds: list[int]) -> Column:
@@ -116,23 +152,24 @@ def _range_of(value: Column, bounds: list[int]) -> Column:
 
 
 def with_next(texts: DataFrame, bounds: list[int]) -> DataFrame:
-    """Add ``sketch`` and ``next`` (text and sketch) of the row after by ascending ``doc_id``; after the last comes the first.
+    """Add ``print`` (fingerprint) and ``next`` (text and links) of the row after by ascending ``doc_id``; after the last comes the first.
 
-    Rows go to ranges of ids, one exchange; only the first row of each range is looked up
-    by the range before it, so at most MOST_RANGES rows are broadcast and found again.
+    Rows go to ranges of ids, dealt by number, in one exchange of the texts; the first row of
+    each range goes to the range before it as well. At most MOST_RANGES rows are broadcast.
     """
     ranged = texts.withColumn("range", _range_of(F.col("doc_id"), bounds))
-    window = Window.partitionBy("range").orderBy(F.col("doc_id").asc_nulls_first(), "text_hash")
-    followed = with_sketch(ranged, F.col("text"), "sketch").withColumn("next", F.lead(F.struct("text", "sketch")).over(window))
     light = ranged.groupBy("range").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "text_hash")).alias("first"))
     around = Window.orderBy("range")  # a row a range
     everywhere = around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    heads = light.select("range", F.coalesce(F.lead("first").over(around), F.first("first").over(everywhere)).alias("head"))
-    heads = heads.select("range", F.col("head.doc_id").alias("head_id"), F.col("head.text_hash").alias("head_hash"))
+    heads = light.select(F.coalesce(F.lag("range").over(around), F.last("range").over(everywhere)).alias("before"), "first")
+    heads = heads.select("before", F.col("first.doc_id").alias("head_id"), F.col("first.text_hash").alias("head_hash"))
     at_head = F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("text_hash") == F.col("head_hash"))
-    firsts = texts.join(F.broadcast(heads), at_head).groupBy("range").agg(F.any_value("text").alias("text"))
-    firsts = with_sketch(firsts, F.col("text"), "sketch").select("range", F.struct("text", "sketch").alias("head"))
-    return followed.join(firsts, "range", "left").withColumn("next", F.coalesce("next", "head")).drop("range", "head")
+    own, copy = (F.struct(F.col(c).alias("range"), F.lit(v).alias("copy")) for c, v in (("range", False), ("before", True)))
+    dealt = ranged.join(F.broadcast(heads), at_head, "left").withColumn("to", F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, copy))))
+    dealt = dealt.select("doc_id", "text", "text_hash", "to.range", "to.copy").repartitionById(len(bounds) + 1, F.col("range"))
+    window = Window.partitionBy("range").orderBy("copy", F.col("doc_id").asc_nulls_first(), "text_hash")
+    printed = with_fingerprint(dealt, F.col("text"), "print").withColumn("links", links(F.col("print")))
+    return printed.withColumn("next", F.lead(F.struct("text", "links")).over(window)).where(~F.col("copy"))
 
 
 def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -148,14 +185,14 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next.text"), F.lit(1), half))
-    pairs = followed.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "sketch", F.col("next.sketch").alias("next_sketch"))
-    pairs = with_sketch(pairs, F.col("edited"), "edited_sketch")
+    pairs = followed.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "print", "links", F.col("next.links").alias("next_links"))
+    pairs = with_fingerprint(pairs, F.col("edited"), "edited_print").withColumn("edited_links", links(F.col("edited_print")))
     return pairs.select(
         "doc_id",
         "n_chars",
         F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
-        as_text(F.col("sketch")).alias("fingerprint"),
-        as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
-        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        as_text(F.col("print")).alias("fingerprint"),
+        as_text(F.col("edited_print")).alias("edited_fingerprint"),
+        likeness(F.col("links"), F.col("edited_links")).alias("near_edited"),
+        likeness(F.col("links"), F.col("next_links")).alias("near_next"),
     )
