@@ -4,12 +4,15 @@ import hashlib
 import math
 import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
+import xxhash
 from tokenizers import Tokenizer
 
 from weftline.llm import bpe_automaton, near_dup, packing, quality, secret_scan, sharding, syncmers, token_files, toxicity, vocab
@@ -467,26 +470,72 @@ def test_estimates_are_near_the_truth():
 # --- 7 fingerprints
 
 
+def chained(values):
+    """Spark's xxhash64 of several values."""
+    seed = 42
+    for v in values:
+        raw = v if isinstance(v, bytes) else struct.pack("<q" if abs(v) > 2**31 else "<i", v)
+        seed = xxhash.xxh64_intdigest(raw, seed)
+    return seed - 2**64 if seed >= 2**63 else seed
+
+
+def plain_anchors(tokens):
+    hashes = [chained([w.encode()]) for w in tokens]
+    found = [(k, chained(hashes[k : k + 5])) for k in range(len(hashes) - 4) if min(hashes[k : k + 5]) in (hashes[k], hashes[k + 4])]
+    return found or ([(0, chained(hashes))] if hashes else [])
+
+
+def plain_fingerprint(text):
+    spaced = regex.sub(r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Khmer}\p{Lao}\p{Myanmar}])", r" \1 ", text)
+    words = [c for w in re.split(r"[ \t\n\x0b\f\r]+", spaced) if w for c in (w if len(w) > 32 else [w])]
+    characters = [c for c in text if c not in " \t\n\x0b\f\r"] if len(text) < 512 else []
+    return plain_anchors(words), plain_anchors(characters)
+
+
+def plain_links(fingerprint):
+    out = set()
+    for kind, found in enumerate(fingerprint):
+        if len(found) == 1:
+            out.add((kind, found[0][1]))
+        out |= {(kind, a[1], b[1], b[0] - a[0]) for a, b in zip(found, found[1:])}
+    return out
+
+
+def plain_text(fingerprint):
+    words, characters = (",".join(f"{k:x}:{a & 0xFFFFFFFF:08x}" for k, a in found) for found in fingerprint)
+    return words + (";" + characters if characters else "")
+
+
+def plain_likeness(a, b):
+    a, b = plain_links(a), plain_links(b)
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
 def test_fingerprints(edges, nothing, edge_rows):
-    out = {(r["doc_id"], r["edited_sha256"]): r for r in syncmers.edited_fingerprints(edges).collect()}
-    by_id = sorted(((i, t or "") for i, t in edge_rows), key=order)
-    unique = [r for r in by_id if r[0] is not None and [i for i, _ in by_id].count(r[0]) == 1]
-    for i, t in unique:
-        at = by_id.index((i, t))
-        following = by_id[(at + 1) % len(by_id)]
-        if following[0] == 7:
-            continue
+    """Every column equals a plain reckoning, rows of equal ids in the order of their text's hash."""
+    by_id = sorted(((i, t or "") for i, t in edge_rows), key=lambda r: (r[0] is not None, r[0] or 0, chained([r[1].encode()])))
+    expected = []
+    for (i, t), (_, following) in zip(by_id, [*by_id[1:], by_id[0]], strict=True):
         half = len(t) // 2
-        edited = t[: len(t) - half] + following[1][:half]
-        row = out[i, hashlib.sha256(edited.encode()).hexdigest()]
-        assert row["n_chars"] == len(t) and 0 <= row["near_edited"] <= 1 and 0 <= row["near_next"] <= 1
-    prints = defaultdict(set)
-    for r in syncmers.edited_fingerprints(edges).join(edges.select("doc_id", "text").distinct(), "doc_id").collect():
-        prints[r["text"] or ""].add(r["fingerprint"])
-    assert {len(v) for v in prints.values()} == {1}
+        edited = t[: len(t) - half] + following[:half]
+        own, new, other = map(plain_fingerprint, (t, edited, following))
+        expected.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), plain_text(own), plain_text(new), plain_likeness(own, new), plain_likeness(own, other)))
+    found = syncmers.edited_fingerprints(edges)
+    assert found.columns == ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(expected, key=str)
     assert syncmers.edited_fingerprints(nothing).isEmpty() and syncmers.anchors(nothing).isEmpty()
 
 
+def test_a_shared_passage_counts_wherever_it_stands(spark):
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(6000)]
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = [(1, " ".join([*words[:2500], passage, *words[2500:3000]])), (2, " ".join([passage, *words[3000:]])), (3, "a" * 900), (4, "unbroken" * 90)]
+    out = {r["doc_id"]: r for r in syncmers.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert 0 < out[1]["near_next"] < 0.05 and out[1]["near_edited"] > 0.3
+    assert out[4]["near_edited"] > 0 and out[3]["near_edited"] > 0
+
+
 def test_ranges_do_not_change_the_result(edges, monkeypatch):
     whole = {tuple(r) for r in syncmers.edited_fingerprints(edges).collect()}
     monkeypatch.setattr(syncmers, "RANGE_BYTES", 2000)
