@@ -5,6 +5,7 @@ import math
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -77,6 +78,38 @@ def test_lexed_literals_are_whole(text):
     assert SECRET[-9:] not in secret_scan.redacted(text)
 
 
+@pytest.mark.parametrize(
+    ("text", "secrets"),
+    [
+        ('db_password: str = "hunter2Ab9xQ"', ["hunter2Ab9xQ"]),
+        ('let api_key: &\'static str = "kQ8zR2mW7x1P";', ["kQ8zR2mW7x1P"]),
+        ('auth_token: Optional[str] = "kQ8zR2mW7x1P"', ["kQ8zR2mW7x1P"]),
+        ('def f(token: str, title="Plain4Title99"): pass', []),
+        ('if passwd == "hunter2Ab9xQ" or a != "b":', ["hunter2Ab9xQ"]),
+        ('pwd === "hunter2Ab9xQ"\nother = pwd', ["hunter2Ab9xQ"]),
+        ("client_secret: |\n    kQ8zR2mW7x1P\n    Zz81kd02LQpa\nnext: 1", ["kQ8zR2mW7x1P", "Zz81kd02LQpa"]),
+        ("<clientSecret>\n kQ8zR2mW7x1P\n</clientSecret>", ["kQ8zR2mW7x1P"]),
+        ('<add key="DbPassword" value="kQ8zR2mW7x1P" />', ["kQ8zR2mW7x1P"]),
+        ('passphrase = """kQ8zR2mW7x1P"""', ["kQ8zR2mW7x1P"]),
+        ("credential = \'\'\'\n  kQ8zR2mW7x1P\n\'\'\'", ["kQ8zR2mW7x1P"]),
+        ('jwt = b"kQ8zR2mW7x1P"', ["kQ8zR2mW7x1P"]),
+        ('jwt = "" + "kQ8zR2mW7x1P"', ["kQ8zR2mW7x1P"]),
+    ],
+)
+def test_other_forms_of_assignment(text, secrets):
+    found = secret_scan.lexed_findings(text)
+    assert [text[f.start : f.end] for f in found] == secrets
+    assert not any(s in secret_scan.redacted(text) for s in secrets)
+
+
+def test_long_odd_texts_are_read_in_linear_time():
+    pieces = ['a = """', "k: |\n ", "<b>" * 3, "x: y = ", "'" * 3, "p == ", "\\" * 5, 'key="a" ', "|\n  z"]
+    for piece in pieces:
+        began = time.process_time()
+        secret_scan.all_findings(piece * (400_000 // len(piece)))
+        assert time.process_time() - began < 20
+
+
 def test_operators_within_a_long_literal():
     text = "jwt=" * 30 + "aB3"
     runs = {(f.start, f.score) for f in secret_scan.lexed_findings(text)}

@@ -1,11 +1,13 @@
 """Secret scans: fixed token formats, and an assignment-aware lexer of source and configuration text.
 
 The lexer looks at each ``=``, ``:``, ``:=`` and ``=>`` of a text, reads the name before it
-(bare, dotted, quoted or bracketed) and the value after it (string literals joined by
-``+`` or standing side by side, a bare literal, a reference to a name), and keeps what each
-name last held. A literal is scored by the most sensitive name it reaches: by itself, or
-through names assigned from it later. Values of credentials inside URLs count as assigned to
-a password.
+(bare, dotted, quoted or bracketed; before a type, as in ``name: type = value``, too) and the
+value after it (string literals, triple-quoted ones as well, joined by ``+`` or standing side by
+side, an indented block after ``|`` or ``>``, a bare literal, a reference to a name), and keeps
+what each name last held. A literal is scored by the most sensitive name it reaches: by itself,
+or through names assigned from it later. A comparison pairs a name with a literal, but the
+name doesn't hold it. Elements (``<name>value</name>``) and pairs of a key and a value attribute
+count as assignments, and credentials inside URLs as assigned to a password.
 
 Rules: a null text is empty; whole texts are read; a finding is (kind, start, end) in code
 points, end exclusive; repeated rows are scanned separately; extra columns are ignored.
@@ -48,11 +50,17 @@ THRESHOLD, LEAST_LITERAL = 0.5, 8
 _BLANKS, _NAME_SIGNS = re.compile(r"\n?[ \t]*"), re.compile(r"[\w$.\-]+")
 _NAME_START = re.compile(r"[A-Za-z_$]")
 _QUOTED_NAME = re.compile(r"[A-Za-z_][\w .\-]*")
-_ATOM = re.compile(r""""((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|\$?\{?([A-Za-z_$][\w$.]*+)\}?(?=[ \t]*(?:[;,+)\]}\n\r#]|$))""")
+_TRIPLE = re.compile(r"""(?:[rbuf]{1,2}(?=["']))?(?:\"{3}((?:[^\\]|\\[\s\S])*?)\"{3}|'{3}((?:[^\\]|\\[\s\S])*?)'{3})""", re.IGNORECASE)
+_ATOM = re.compile(r"""(?:[rbufRBUF]{1,2}(?=["']))?(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)')|`([^`\n]*)`|\$?\{?([A-Za-z_$][\w$.]*+)\}?(?=[ \t]*(?:[;,+)\]}\n\r#]|$))""")
 _BARE = re.compile(r"[\w+/.=\-~!@%^&*]+")
 #: Every place at which PLACEHOLDER finds something in a bare literal.
 _PLACEHOLDER_AT = re.compile(r"(?i)(?=change_?me|example|placeholder|your[_-]|dummy|redacted|todo|xxx|\*\*\*|null|none|true|false|undefined)")
-_OPERATOR = re.compile(r":=|=>|=|:")
+_OPERATOR = re.compile(r":=|=>|[=!]==?|=|:")
+_TYPE = re.compile(r"""[ \t]*[&*]?(?:'\w+ )?(?:mut )?[\w.]+(?:\[[^\[\]\n]*(?:\[[^\[\]\n]*\][^\[\]\n]*)*\]|<[^<>\n]*>)?\??(?: ?\| ?[\w.]+)*[ \t]*""")
+_BLOCK = re.compile(r"[ \t]*[|>][+\-0-9]*[ \t]*\r?\n")
+_BLOCK_LINE = re.compile(r"([ \t]+)([^\s][^\n]*?)[ \t\r]*(?:\n|\Z)|[ \t]*\r?\n")
+_ELEMENT = re.compile(r"<([A-Za-z_][\w.:\-]*)(?:\s[^<>]*)?>\s*([^<>\s]+)\s*</\1\s*>")
+_ATTRIBUTES = re.compile(r"""\b(?:key|name)\s*=\s*["']([^"'\n]+)["']\s+value\s*=\s*["']([^"'\n]+)["']""")
 _GAP = re.compile(r"[ \t]*")
 _JOIN = re.compile(r"[ \t]*(?:\+[ \t]*(?:\\?\n[ \t]*)?)?")
 _URL_SECRET = re.compile(r"[a-z][a-z0-9+.\-]{1,15}://[^\s:/@\"']*+:([^\s@/\"']{6,}+)@")
@@ -140,11 +148,28 @@ def _name_before(text: str, back: str, at: int) -> str | None:
     return text[first.start() : end] if first else None
 
 
+def _block_after(text: str, at: int, line: int) -> list[tuple[int, int]]:
+    """Places of the lines of the block that ``|`` or ``>`` at ``at`` opens, indented deeper than the line that begins at ``line``."""
+    opening, places, indent = _BLOCK.match(text, at), [], None
+    outer = _GAP.match(text, line)[0]
+    at = opening.end() if opening else len(text)
+    while at < len(text) and (found := _BLOCK_LINE.match(text, at)):
+        at = found.end()
+        if found[2] is None:
+            continue
+        if not found[1].startswith(indent or outer) or found[1] == outer:
+            break
+        indent = indent or found[1]
+        places.append(found.span(2))
+    return places
+
+
 def _value_after(text: str, at: int, held: dict[str, _Held], run: _Run) -> _Held | None:
     """The value that begins at ``at``: literals, possibly joined, or what a name holds."""
     places, quoted, bare = [], False, False
     while True:
-        atom = _ATOM.match(text, at)
+        atom = _TRIPLE.match(text, at) or _ATOM.match(text, at)
+        triple = atom is not None and atom.re is _TRIPLE
         which, end = (atom.lastindex, atom.end()) if atom else (5, run.end_from(at))
         if end == at:
             break
@@ -156,7 +181,12 @@ def _value_after(text: str, at: int, held: dict[str, _Held], run: _Run) -> _Held
             return None
         else:
             bare = which == 5 and not places
-            places.append(atom.span(which) if atom else (at, end))
+            place = atom.span(which) if atom else (at, end)
+            if triple:  # blanks around the text aren't the literal's
+                inner = text[slice(*place)]
+                place = (place[0] + len(inner) - len(inner.lstrip()), place[1] - len(inner) + len(inner.rstrip()))
+            if place[0] < place[1]:
+                places.append(place)
             quoted |= which <= 3
         joint = _JOIN.match(text, end)
         at = joint.end()
@@ -186,16 +216,33 @@ def lexed_findings(text: str) -> list[Finding]:
                 if place not in best or best[place].score < score:
                     best[place] = Finding("lexed", *place, name, round(score, 4))
 
+    before: tuple[int, str | None, str] = (0, None, "")  # end, name and sign of the operator before
+    line = 0
     for op in _OPERATOR.finditer(text):
+        line = max(line, text.rfind("\n", before[0], op.start()) + 1)
         name = _name_before(text, back, op.start())
-        if name is None:
+        names = [n for n in (name, before[1] if op[0] == "=" and before[2] == ":" and _TYPE.fullmatch(text, before[0], op.start()) else None) if n]
+        before = (op.end(), name, op[0])
+        if not names:
             continue
-        value = _value_after(text, _GAP.match(text, op.end()).end(), held, run)
+        after = _GAP.match(text, op.end()).end()
+        if op[0] == ":" and text[after : after + 1] in ("|", ">") and (lines := _block_after(text, after, line)):
+            value: _Held | None = _Held(lines, True)
+        else:
+            value = _value_after(text, after, held, run)
         if value is None:
             continue
-        held[name] = value
-        if weight := name_weight(name):
-            note(value, name, weight)
+        for name in names:
+            if op[0][-2:] != "==" and op[0] != "!=":
+                held[name] = value
+            if weight := name_weight(name):
+                note(value, name, weight)
+    if "</" in text:
+        for element in _ELEMENT.finditer(text):
+            note(_Held([element.span(2)], True), element[1], name_weight(element[1]))
+    if "value" in text:
+        for pair in _ATTRIBUTES.finditer(text):
+            note(_Held([pair.span(2)], True), pair[1], name_weight(pair[1]))
     if "://" in text:
         for url in _URL_SECRET.finditer(text):
             note(_Held([url.span(1)], True), "url password", 1.0)
@@ -216,7 +263,7 @@ def base_findings(text: str) -> list[Finding]:
 def all_findings(text: str) -> tuple[list[Finding], list[Finding]]:
     """The base findings, and these with the lexed ones that don't lie within one of them."""
     base = base_findings(text)
-    if ":" not in text and "=" not in text:
+    if ":" not in text and "=" not in text and "</" not in text:
         return base, base
     starts, reach, furthest = [f.start for f in base], [], 0
     for f in base:
