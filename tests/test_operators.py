@@ -41,6 +41,21 @@ def test_folder_dependencies(spark):
     assert rows(graph.stage_edges(edges), "src", "dst") == [("a", "c"), ("b", "c"), ("c", "d")]
 
 
+def test_a_cycle_is_named(spark):
+    spec = {"in": ([], ["x"]), "a": (["x", "r"], ["p"]), "b": (["p"], ["q"]), "c": (["q"], ["r"]), "d": (["p", "r"], ["s"]), "out": (["s"], ["t"])}
+    edges = graph.build_edges(stages(spark, spec))
+    assert rows(graph.cycles(edges), "stage") == [("a",), ("b",), ("c",)]
+    assert graph.cycle_path(edges) == ["a", "b", "c", "a"]
+    assert graph.cycle_path(graph.build_edges(stages(spark, DIAMOND))) == []
+
+
+def test_changes_within_runs_wait(spark):
+    runs = spark.createDataFrame([("u", 10, 20), ("u", 15, 40), ("u", 50, 60), (None, 1, 99)], "key string, start_ts long, end_ts long")
+    changes = spark.createDataFrame([(1, "u", 10), (2, "u", 20), (3, "u", 40), (4, "u", 55), (5, "v", 55), (6, None, 5), (7, "u", 9)], "event_id int, key string, ts long")
+    found = E.deferred(changes, runs, "key").select("event_id", "effective_ts", "deferred")
+    assert rows(found, "event_id") == [(1, 20, True), (2, 40, True), (3, 40, False), (4, 60, True), (5, 55, False), (6, 5, False), (7, 9, False)]
+
+
 def test_cycles_end(spark):
     loop = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c")], "src string, dst string")
     assert rows(reachable(loop).where("src = dst").select("src"), "src") == [("a",), ("b",)]
@@ -58,6 +73,8 @@ def test_external_pipelines(spark):
     others = stages(spark, {"m": (["lib/raw.csv"], ["lib/m/x.csv"]), "r": ([], ["lib/raw.csv"]), "n": ([], ["else"])})
     outputs = spark.createDataFrame([("lib/m/x.csv", "m", "lib", 3), ("lib/raw.csv", "r", "lib", 3), ("else", "n", "z", 3)], "path string, stage string, pipeline string, tier int")
     assert rows(graph.resolve_external(own, others, outputs).select("name"), "name") == [("d",), ("m",), ("r",)]
+    own = spark.createDataFrame([("a",), ("p/t",), ("p/t_2",), ("p/t_4",), ("p/b",), ("t",)], "name string")
+    assert rows(graph.include_pipeline(own, spark.createDataFrame([("t",), ("b",), ("c",)], "name string"), "p"), "name") == [("b", "p/b_2"), ("c", "p/c"), ("t", "p/t_3")]
     renamed = graph.include_pipeline(spark.createDataFrame([("a",)], "name string"), spark.createDataFrame([("a",), ("b",)], "name string"), "sub")
     assert rows(renamed, "name") == [("a", "sub/a"), ("b", "sub/b")]
 
@@ -127,8 +144,9 @@ def test_deferred_writes(spark):
 def test_matrix(spark):
     dims = {"model": spark.createDataFrame([("bert",), ("gpt",)], "value string"), "data": spark.createDataFrame([("swe",), ("human",)], "value string")}
     assert {r["stage"] for r in expand.expand_matrix(dims, "train").collect()} == {"train@bert_swe", "train@bert_human", "train@gpt_swe", "train@gpt_human"}
-    with pytest.raises(ValueError):
-        expand.expand_matrix(dims, "train", "{nope}")
+    assert expand.expand_matrix(dims, "train", "{nope}") is None
+    assert expand.expand_matrix({}, "train").columns == ["stage"] and expand.expand_matrix({}, "train").isEmpty()
+    assert expand.split_template("train@{model}_x") == ("train", "{model}_x") and expand.split_template("train") == ("train", None)
     with pytest.raises(ValueError):
         expand.check_template("{model}", ["model", "data"])
     empty_dim = {**dims, "data": dims["data"].limit(0)}
@@ -142,6 +160,12 @@ def test_deep_merge_hides_parts_and_wholes(spark):
 
 def test_flattening(spark):
     nested = spark.createDataFrame([('{"train": {"acc": 0.9, "sub": {"n": 1}}, "tags": [1, 2], "name": "m"}',)], "text string")
+    odd = spark.createDataFrame([('{"d": "{\\"k\\": 2}", "e": "{not json", "f": {}, "g": {"h": {"i": null}}}',), ("[1]",), ("nope",), (None,)], "text string")
+    assert rows(expand.flattened_json(odd), "key") == [("d", '{"k": 2}'), ("e", "{not json"), ("g.h.i", None)]
+    deep = "1"
+    for k in range(70):
+        deep = '{"k": ' + deep + "}"
+    assert rows(expand.flattened_json(spark.createDataFrame([(deep,)], "text string")), "key") == [(".".join("k" * 70), "1")]
     assert rows(expand.flattened_json(nested), "key") == [("name", "m"), ("tags", "[1,2]"), ("train.acc", "0.9"), ("train.sub.n", "1")]
     assert expand.flattened(spark.sql("select named_struct('b', 1, 'c', named_struct('d', 2)) a")).columns == ["a.b", "a.c.d"]
 

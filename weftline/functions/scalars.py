@@ -123,6 +123,7 @@ def unresolved(text: Column) -> Column:
     return text.rlike(r"\$\{\w+\}")
 
 
+# The three messages.
 def path_problem(path: Column) -> Column:
     """Why a path's syntax isn't allowed; null if it is."""
     return (
@@ -132,6 +133,31 @@ def path_problem(path: Column) -> Column:
     )
 
 
+# Kinds of paths that may lie outside the base folder.
+MAY_LIE_OUTSIDE = ("dependency",)
+
+
+def path_policy(path: Column, kind: Column, base: str, real: Column | None = None) -> Column:
+    """(valid, path, error, warning): what the policy for a kind of path says of it; ``real`` is where links lead, where that is known.
+
+    Only dependencies may lie outside of ``base``, with a warning; links that lead outside are errors for all others.
+    """
+    root = base.rstrip("/")
+    full = canonical_path(absolute_path(path, root))
+    inside = lambda p: (p == root) | p.startswith(F.lit(root + "/"))
+    free = kind.isin(*MAY_LIE_OUTSIDE)
+    leads_out = F.coalesce(~inside(real), F.lit(False)) if real is not None else F.lit(False)
+    astray = F.concat(kind, F.lit(" path resolves outside base via symlink: "), path)
+    problem = path_problem(path)
+    error = (
+        F.when(problem.isNotNull(), F.concat(kind, F.lit(" path "), problem))
+        .when(~inside(full) & ~free, F.concat(kind, F.lit(" path '"), path, F.lit("' resolves outside base directory")))
+        .when(leads_out & ~free, astray)
+    )
+    warning = F.when(error.isNotNull(), None).when(~inside(full), F.concat(F.lit("Absolute "), kind, F.lit(" path may break reproducibility: "), path)).when(leads_out, astray)
+    return F.struct(error.isNull().alias("valid"), F.when(error.isNull(), full).alias("path"), error.alias("error"), warning.alias("warning"))
+
+
 def canonical_path(path: Column) -> Column:
     """The path without empty, ``.`` and resolved ``..`` parts; a slash at the end stays."""
     parts = F.filter(F.split(path, "/"), lambda p: (p != "") & (p != "."))

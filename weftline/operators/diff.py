@@ -77,7 +77,9 @@ def _values(columns: Sequence[str]) -> list[Column]:
 
 
 def with_position(df: DataFrame, order: Sequence[str | Column], name: str = "position") -> DataFrame:
-    """The 0-based place of every row in the given order, numbered range by range of the order."""
+    """The 0-based place of every row in the given order, numbered range by range of the order; equal ones by a hash of the row, so that they can be split too."""
+    hashed = [f.name for f in df.schema if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+    order = [*order, F.xxhash64(*[F.col(f"`{c}`") for c in hashed])]
     ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
     placed = materialize(ranged, "positions")
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -138,11 +140,11 @@ def diff_tables(old: DataFrame | None, new: DataFrame | None, keys: Sequence[str
     if not keys and reorder_only(old, new):
         return out | {"reorder_only": True}
     if keys:
-        changes = diff_rows_by_key(old, new, keys)
+        changes = materialize(diff_rows_by_key(old, new, keys), "changes")
         return out | {"rows": truncated(changes, rows), "truncated": is_truncated(old, new, changes, keys, rows)}
     if not order:
         raise ValueError("rows have no order of their own: name key columns or an order")
-    changes = diff_rows_positional(old, new, order)
+    changes = materialize(diff_rows_positional(old, new, order), "changes")
     return out | {"rows": truncated(changes, rows, "position"), "truncated": changes.count() > rows}
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -9,17 +10,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.scalars import stage_base
+from weftline.plans.scratch import materialize
 
 
-def expand_matrix(dimensions: dict[str, DataFrame], base: str, template: str | None = None) -> DataFrame:
+def expand_matrix(dimensions: dict[str, DataFrame], base: str, template: str | None = None) -> DataFrame | None:
     """One row for each combination of the dimensions' ``value``: a column a dimension, and ``stage``.
 
     The name is ``base@a_b`` in the order of the dimensions, or follows the template
-    (``{dimension}``); a template that names something else raises ValueError. No
-    dimension, or an empty one, gives no rows.
+    (``{dimension}``); for a template that names something else the result is None, and names
+    have to come from the full definitions. No dimension, or an empty one, gives no rows.
     """
-    if template is not None:
-        check_template(template, list(dimensions), every=False)
+    if not dimensions:
+        return SparkSession.active().createDataFrame([], "stage string")
+    if template is not None and set(named_in(template)) - set(dimensions):
+        return None
     combined = reduce(lambda a, b: a.crossJoin(b), [df.select(F.col("value").cast("string").alias(name)) for name, df in dimensions.items()])
     if template is None:
         variant = F.concat_ws("_", *dimensions)
@@ -28,11 +32,20 @@ def expand_matrix(dimensions: dict[str, DataFrame], base: str, template: str | N
     return combined.withColumn("stage", F.concat(F.lit(base + "@"), variant))
 
 
+def named_in(template: str) -> list[str]:
+    """Names in braces."""
+    return re.findall(r"\{(\w*)\}", template)
+
+
+def split_template(name: str) -> tuple[str, str | None]:
+    """Base name and template of a stage name; no template without ``@``."""
+    base, at, template = name.partition("@")
+    return base, template if at else None
+
+
 def check_template(template: str, dimensions: Sequence[str], every: bool = True) -> None:
     """Raise ValueError if the template names an unknown dimension, or leaves one out where every one is needed."""
-    import re
-
-    named = set(re.findall(r"\{(\w*)\}", template))
+    named = set(named_in(template))
     if extra := named - set(dimensions):
         raise ValueError(f"unknown dimensions {sorted(extra)}")
     if every and (left := set(dimensions) - named):
@@ -106,22 +119,24 @@ def flattened(df: DataFrame, sep: str = ".") -> DataFrame:
 def flattened_json(rows: DataFrame, text_col: str = "text") -> DataFrame:
     """(.., key, value) of the leaves of JSON objects, with dotted keys; arrays are leaves, as JSON text; values keep their JSON text but for strings.
 
-    Levels are opened in rounds; a round's rows are the objects that are still closed.
+    Levels are opened in rounds, as deep as the objects go; a round's rows are the objects
+    that are still closed. Objects are told from strings that look like one by their type.
+    An object that repeats a key isn't parted by it: it gives its last value.
     """
     own = [c for c in rows.columns if c != text_col]
     level = rows.select(*own, F.lit("").alias("prefix"), F.col(text_col).alias("node"))
-    done, depth = None, 0
-    while depth < 64:
-        entries = level.select(*own, "prefix", F.explode(F.from_json("node", "map<string,string>")).alias("k", "value"))
-        named = entries.select(*own, F.concat("prefix", "k").alias("key"), "value")
-        is_object = F.coalesce(F.ltrim("value").startswith("{"), F.lit(False))
-        leaves = named.where(~is_object)
+    done = None
+    while True:
+        texts = level.select(*own, "prefix", F.from_json("node", "map<string,string>").alias("texts"), F.from_json("node", "map<string,variant>").alias("typed"))
+        entries = texts.select(*own, "prefix", "typed", F.explode("texts").alias("k", "value"))
+        kind = F.schema_of_variant(F.try_element_at("typed", F.col("k")))
+        named = entries.select(*own, F.concat("prefix", "k").alias("key"), "value", F.coalesce(kind.startswith("OBJECT"), F.lit(False)).alias("closed"))
+        opened = materialize(named, "json-level")
+        leaves = opened.where(~F.col("closed")).drop("closed")
         done = leaves if done is None else done.union(leaves)
-        level = named.where(is_object).select(*own, F.concat("key", F.lit(".")).alias("prefix"), F.col("value").alias("node"))
-        depth += 1
+        level = opened.where("closed").select(*own, F.concat("key", F.lit(".")).alias("prefix"), F.col("value").alias("node"))
         if level.isEmpty():
-            break
-    return done
+            return done
 
 
 def layered_value(layers: DataFrame) -> DataFrame:

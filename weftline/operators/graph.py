@@ -6,11 +6,11 @@ Edges run artifact -> stage (consumed) and stage -> artifact (produced). Path re
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.scalars import ancestors, stage_base, stage_variant
-from weftline.plans.closure import longest_levels, reachable
+from weftline.plans.closure import cyclic_part, longest_levels, reachable
 from weftline.plans.scratch import materialize
 
 ARTIFACT, STAGE = "artifact", "stage"
@@ -147,8 +147,33 @@ def execution_order(stages: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def cycles(edges: DataFrame) -> DataFrame:
-    """Stages that depend on themselves."""
-    return downstream(edges).where("src = dst").select(F.col("src").alias("stage"))
+    """Stages that depend on themselves; only what is left of the graph without its ends is closed."""
+    return reachable(cyclic_part(stage_edges(edges))).where("src = dst").select(F.col("src").alias("stage"))
+
+
+def cycle_path(edges: DataFrame) -> list[str]:
+    """The stages of a shortest cycle through the first stage that is on one, which comes first and last; empty without one.
+
+    Goes on from that stage in rounds; the driver gets one stage a step of the cycle.
+    """
+    left = cyclic_part(stage_edges(edges))
+    start = reachable(left).where("src = dst").agg(F.min("src")).first()[0]
+    if start is None:
+        return []
+    steps, seen = [], None
+    frontier = left.where(F.col("src") == start).select(F.lit(start).alias("before"), F.col("dst").alias("stage"))
+    while True:
+        step = materialize(frontier.groupBy("stage").agg(F.min("before").alias("before")), "cycle-step")
+        steps.append(step)
+        if not step.where(F.col("stage") == start).isEmpty():
+            break
+        seen = step.select("stage") if seen is None else seen.union(step.select("stage"))
+        ahead = step.select(F.col("stage").alias("src")).join(left, "src").select(F.col("src").alias("before"), F.col("dst").alias("stage"))
+        frontier = ahead.join(seen, "stage", "left_anti")
+    path = [start]
+    for step in reversed(steps):
+        path.append(step.where(F.col("stage") == path[-1]).first()["before"])
+    return path[::-1]
 
 
 def display_order(placed: DataFrame) -> DataFrame:
@@ -214,26 +239,30 @@ def external_producers(missing: DataFrame, outputs: DataFrame) -> DataFrame:
     return best.select("path", "b.*")
 
 
-def resolve_external(stages: DataFrame, others: DataFrame, outputs: DataFrame, rounds: int = 100) -> DataFrame:
+def resolve_external(stages: DataFrame, others: DataFrame, outputs: DataFrame) -> DataFrame:
     """The stages with those of other pipelines that they need, in rounds until nothing is missing that anyone makes."""
     known = stages
-    for _ in range(rounds):
+    while True:
         missing = stage_deps(known).join(stage_outs(known).select("path").distinct(), "path", "left_anti").select("path").distinct()
         need = external_producers(missing, outputs).select(F.col("stage").alias("name")).distinct().join(known.select("name"), "name", "left_anti")
-        if need.isEmpty():
-            break
-        known = materialize(known.unionByName(others.join(need, "name", "left_semi")), "resolved")
-    return known
+        added = materialize(others.join(need, "name", "left_semi"), "resolved")
+        if added.isEmpty():
+            return known
+        known = known.unionByName(added)
 
 
 def include_pipeline(own: DataFrame, incoming: DataFrame, prefix: str) -> DataFrame:
-    """(name, new_name) of the incoming stages: prefixed if any name is taken, and numbered where that is taken too."""
+    """(name, new_name) of the incoming stages: prefixed if any name is taken, and numbered from 2 by the first free number where that is taken too."""
     taken = not incoming.join(own, "name", "left_semi").isEmpty()
     if not taken:
         return incoming.select("name", F.col("name").alias("new_name"))
     renamed = incoming.select("name", F.concat(F.lit(prefix + "/"), "name").alias("base"))
-    clash = renamed.join(own.select(F.col("name").alias("base")), "base", "left_semi").select("name").withColumn("clash", F.lit(True))
-    return renamed.join(clash, "name", "left").select("name", F.when(F.col("clash"), F.concat("base", F.lit("_2"))).otherwise(F.col("base")).alias("new_name"))
+    clash = own.select(F.col("name").alias("base")).distinct().withColumn("clash", F.lit(True))
+    numbered = own.select(F.regexp_extract("name", r"^(.*)_([1-9][0-9]{0,8})$", 1).alias("base"), F.regexp_extract("name", r"^(.*)_([1-9][0-9]{0,8})$", 2).alias("n"))
+    used = numbered.where("n <> ''").groupBy("base").agg(F.collect_set(F.col("n").cast("int")).alias("used"))
+    free = F.get(F.filter(F.sequence(F.lit(2), F.size("used") + 2), lambda n: ~F.array_contains("used", n)), 0)
+    named = renamed.join(clash, "base", "left").join(used, "base", "left").withColumn("used", F.coalesce("used", F.array().cast("array<int>")))
+    return named.select("name", F.when(F.col("clash"), F.concat("base", F.lit("_"), free.cast("string"))).otherwise(F.col("base")).alias("new_name"))
 
 
 def output_sources(outs: DataFrame, ordinal: str = "ordinal") -> DataFrame:
@@ -256,5 +285,9 @@ def ready_stages(selected: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def indexed(df: DataFrame, by: str, name: str = "index") -> DataFrame:
-    """1-based place and total of the rows of a small table."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(by))).withColumn("total", F.count(F.lit(1)).over(Window.partitionBy()))
+    """1-based place and total of the rows."""
+    from weftline.operators.diff import with_position
+
+    placed = with_position(df, [by], name)
+    total = placed.agg(F.count(F.lit(1)).alias("total"))
+    return placed.withColumn(name, (F.col(name) + 1).cast("int")).join(F.broadcast(total), how="cross")

@@ -59,15 +59,19 @@ def parse_ignore(lines: list[tuple[str, str]], spark: SparkSession) -> DataFrame
 def check_ignored(paths: DataFrame, patterns: DataFrame, protected: tuple[str, ...] = ()) -> DataFrame:
     """(path, ignored, pattern, line): the last pattern that matches decides; protected names are never ignored.
 
-    Patterns are lines of small text files, so they are broadcast.
+    Patterns are lines of small text files, so they become parts of the plan: a path is held against one after
+    the other, from the last, and each is compiled once.
     """
-    matched = paths.select("path").distinct().join(F.broadcast(patterns), F.expr("path rlike regex"))
-    last = matched.groupBy("path").agg(F.max_by(F.struct("pattern", "line", "negated"), "line").alias("m"))
+    kind = "struct<pattern:string,line:int,negated:boolean>"
+    last = F.lit(None).cast(kind)
+    for p in patterns.orderBy("line").collect():
+        last = F.when(F.col("path").rlike(p["regex"]), F.struct(F.lit(p["pattern"]).alias("pattern"), F.lit(p["line"]).alias("line"), F.lit(p["negated"]).alias("negated"))).otherwise(last)
     safe = F.lit(False)
     for name in protected:
         safe = safe | F.array_contains(F.split("path", "/"), name)
+    found = paths.select("path").distinct().withColumn("m", last)
     ignored = F.coalesce(~F.col("m.negated"), F.lit(False)) & ~safe
-    return paths.select("path").distinct().join(last, "path", "left").select("path", ignored.alias("ignored"), F.col("m.pattern").alias("pattern"), F.col("m.line").alias("line"))
+    return found.select("path", ignored.alias("ignored"), F.col("m.pattern").alias("pattern"), F.col("m.line").alias("line"))
 
 
 def not_ignored(paths: DataFrame, patterns: DataFrame) -> DataFrame:

@@ -20,7 +20,13 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.functions.scalars import LONGEST_STAGE_NAME, STAGE_NAME_PATTERN
+from weftline.operators.params import Params, resolve_params
 from weftline.schemas import SCHEMAS
+from weftline.sources.loaders import Reader, Writer, loader_fingerprint
+
+
+#: The path of an input that is named later.
+PLACEHOLDER = "?"
 
 
 class RegistryError(ValueError):
@@ -43,9 +49,21 @@ class Stage:
     fn: Callable
     deps: dict[str, str]
     outs: dict[str, Output]
-    params: dict = field(default_factory=dict)
+    params: dict | Params | None = field(default_factory=dict)
     mutex: tuple[str, ...] = ()
     variant: str = ""
+    loaders: dict[str, Reader | Writer] = field(default_factory=dict)
+
+    def values(self) -> dict:
+        """Parameter values."""
+        return self.params.values() if isinstance(self.params, Params) else dict(self.params or {})
+
+    def manifest(self) -> dict[str, str]:
+        """Fingerprints of the function and of the loaders that it uses."""
+        out = fingerprint(self.fn)
+        for loader in self.loaders.values():
+            out |= loader_fingerprint(loader)
+        return out
 
 
 class _Normal(ast.NodeTransformer):
@@ -72,62 +90,131 @@ def code_hash(fn: Callable) -> str:
         tree = _Normal().visit(ast.parse(textwrap.dedent(inspect.getsource(fn))))
         text = ast.dump(tree, annotate_fields=False)
     except (OSError, TypeError, SyntaxError):
-        code = fn.__code__
+        code = getattr(fn, "__code__", None)
+        if code is None:  # a class without source
+            return value_hash((fn.__module__, fn.__qualname__))
         text = f"{code.co_code.hex()} {code.co_consts!r} {code.co_names!r}"
     return hashlib.sha256(text.encode()).hexdigest()[:16]
 
 
+def value_hash(value) -> str:
+    """A hash of how a plain value is written."""
+    return hashlib.sha256(repr(value).encode()).hexdigest()[:16]
+
+
 def is_user_code(value) -> bool:
-    """Whether a function comes from neither the standard library nor an installed package."""
+    """Whether a function or class comes from neither the standard library nor an installed package."""
     file = getattr(inspect.getmodule(value), "__file__", None)
     return file is None or not any(part in file for part in ("site-packages", "dist-packages", "/lib/python"))
 
 
 def fingerprint(fn: Callable) -> dict[str, str]:
-    """Hashes of a function and, by name, of all helpers it reaches and of the plain values it closes over."""
+    """Hashes of a function and, by name, of all helpers and classes it reaches and of the plain values it closes over."""
     manifest: dict[str, str] = {}
+    seen: set[int] = set()
+
+    def add(value, name: str, prefixes: tuple[str, str, str]) -> None:
+        if inspect.isfunction(value) and is_user_code(value):
+            visit(value, f"{prefixes[0]}:{name}")
+        elif inspect.isclass(value) and is_user_code(value):
+            visit_class(value, f"{prefixes[1]}:{name}")
+        elif isinstance(value, (str, int, float, bool, bytes, tuple, frozenset, type(None))):
+            manifest[f"{prefixes[2]}:{name}"] = value_hash(value)
 
-    def visit(f: Callable, name: str, seen: set[int]) -> None:
+    def visit(f: Callable, name: str) -> None:
         if id(f) in seen:
             return
         seen.add(id(f))
         manifest[name] = code_hash(f)
         used = inspect.getclosurevars(f)
         for key, value in sorted({**used.globals, **used.nonlocals}.items()):
-            if inspect.isfunction(value):
-                if is_user_code(value):
-                    visit(value, f"func:{key}", seen)
-            elif inspect.ismodule(value):
-                for attr in sorted(module_attributes(f, key)):
-                    member = getattr(value, attr, None)
-                    if inspect.isfunction(member) and is_user_code(member):
-                        visit(member, f"mod:{key}.{attr}", seen)
-            elif isinstance(value, (str, int, float, bool, bytes, tuple, frozenset, type(None))):
-                manifest[f"const:{key}"] = hashlib.sha256(repr(value).encode()).hexdigest()[:16]
-
-    visit(fn, "self", set())
+            if inspect.ismodule(value):
+                for path in sorted(module_attributes(f, key)):
+                    member = value
+                    for attr in path.split("."):
+                        step = getattr(member, attr, None)
+                        if step is None or not (inspect.ismodule(member) or inspect.isclass(member)):
+                            break
+                        member = step
+                    if member is not value and not inspect.ismodule(member) and is_user_code(value):
+                        add(member, f"{key}.{path}", ("mod", "mod", "mod"))
+            else:
+                add(value, key, ("func", "class", "const"))
+
+    def visit_class(cls: type, name: str) -> None:
+        if id(cls) in seen:
+            return
+        seen.add(id(cls))
+        manifest[name] = code_hash(cls)
+        for base in cls.__bases__:
+            if is_user_code(base) and base is not object:
+                visit_class(base, f"class:{base.__name__}")
+        for key, member in sorted(vars(cls).items()):
+            member = getattr(member, "__func__", getattr(member, "fget", member))
+            if inspect.isfunction(member) and member.__module__ == cls.__module__:
+                visit(member, f"{name}.{key}")
+
+    visit(fn, "self")
     return manifest
 
 
 def module_attributes(fn: Callable, module: str) -> list[str]:
-    """Attributes of a module that a function's code uses, in the order of first use."""
+    """What of a module a function's code uses, as dotted names (``sub.attr`` for ``module.sub.attr``), in the order of first use."""
     try:
         tree = ast.parse(textwrap.dedent(inspect.getsource(fn)))
     except (OSError, SyntaxError):
         return []
-    return list(dict.fromkeys(n.attr for n in ast.walk(tree) if isinstance(n, ast.Attribute) and isinstance(n.value, ast.Name) and n.value.id == module))
+    inner, found = set(), []
+    for node in ast.walk(tree):
+        parts, at = [], node
+        while isinstance(at, ast.Attribute):
+            parts.append(at.attr)
+            at = at.value
+            inner.add(id(at))
+        if parts and isinstance(at, ast.Name) and at.id == module and id(node) not in inner:
+            found.append((node.lineno, node.col_offset, ".".join(reversed(parts))))
+    return list(dict.fromkeys(name for _, _, name in sorted(found)))
+
+
+def placed(path: str, root: str) -> str:
+    """The path below a pipeline's folder, unless it is absolute or an address."""
+    return path if not root or path.startswith("/") or "://" in path else f"{root.rstrip('/')}/{path.removeprefix('./')}"
+
+
+def overridden(out: Output, override: str | dict | None) -> Output:
+    """An output with another path, or with the path and options of a mapping. A folder stays one."""
+    if override is None:
+        return out
+    given = {"path": override} if isinstance(override, str) else override
+    if "path" not in given:
+        raise RegistryError(f"the override of {out.path!r} has no path")
+    if out.path.endswith("/") and not given["path"].endswith("/"):
+        raise RegistryError(f"{given['path']!r} must end in / as {out.path!r} is a folder")
+    return replace(out, path=given["path"], cached=given.get("cache", out.cached))
 
 
 class Pipeline:
     """A registry of stages."""
 
-    def __init__(self) -> None:
+    def __init__(self, root: str = "") -> None:
+        self.root = root
         self.stages: dict[str, Stage] = {}
 
-    def register(self, stage: Stage) -> Stage:
-        """Add a stage; names, outputs and incremental outputs are checked."""
+    def register(self, stage: Stage, dep_paths: dict[str, str] | None = None, out_overrides: dict[str, str | dict] | None = None) -> Stage:
+        """Add a stage, with other paths and options for some inputs and outputs; its names, outputs and incremental outputs are checked.
+
+        Relative paths lie in the pipeline's folder. A parameter class becomes its defaults.
+        """
         import re
 
+        for given, known, what in ((dep_paths, stage.deps, "inputs"), (out_overrides, stage.outs, "outputs")):
+            if unknown := set(given or {}) - set(known):
+                raise RegistryError(f"stage {stage.name!r} has no {what} {sorted(unknown)}")
+        deps = {n: p if p == PLACEHOLDER else placed(p, self.root) for n, p in {**stage.deps, **(dep_paths or {})}.items()}
+        outs = {n: overridden(o, (out_overrides or {}).get(n)) for n, o in stage.outs.items()}
+        outs = {n: replace(o, path=placed(o.path, self.root)) for n, o in outs.items()}
+        params = resolve_params(stage.params, Params, stage.name) if isinstance(stage.params, type) else stage.params
+        stage = replace(stage, deps=deps, outs=outs, params=params)
         if not re.match(STAGE_NAME_PATTERN, stage.name) or len(stage.name) > LONGEST_STAGE_NAME:
             raise RegistryError(f"bad stage name {stage.name!r}")
         if stage.name in self.stages:
@@ -153,7 +240,7 @@ class Pipeline:
         return add
 
     def bind(self, name: str, deps: dict[str, str]) -> None:
-        """Give placeholders (inputs named ``?``) their paths."""
+        """Give placeholders (inputs whose path is PLACEHOLDER) their paths."""
         stage = self.stages[name]
         if unknown := set(deps) - set(stage.deps):
             raise RegistryError(f"unknown inputs {sorted(unknown)}")
@@ -165,13 +252,30 @@ class Pipeline:
     def restore(self, stages: dict[str, Stage]) -> None:
         self.stages = dict(stages)
 
+    def reload(self, load: Callable[[], Pipeline]) -> dict[str, str] | None:
+        """Take the stages of a pipeline that is made anew after its code changed; added, removed and modified ones by name.
+
+        All of its stages are to be decided on again. If it can't be made, or depends on
+        itself, the stages stay as they are and the result is None.
+        """
+        try:
+            fresh = load()
+            fresh.makers()
+            after = {n: (s.manifest(), s.values(), s.deps, s.outs) for n, s in fresh.stages.items()}
+        except Exception:
+            return None
+        before = {n: (s.manifest(), s.values(), s.deps, s.outs) for n, s in self.stages.items()}
+        self.stages = dict(fresh.stages)
+        kinds = {n: "added" if n not in before else "removed" if n not in after else "modified" if before[n] != after[n] else "" for n in sorted({*before, *after})}
+        return {n: kind for n, kind in kinds.items() if kind}
+
     def to_table(self, spark: SparkSession) -> DataFrame:
         """The stages as a catalogue table."""
         rows = []
         for s in self.stages.values():
             own = {o.path for o in s.outs.values() if o.incremental}
             outs = [(o.path, o.kind, o.cached, o.incremental) for o in s.outs.values()]
-            rows.append((s.name, s.variant, list(s.mutex), [d for d in s.deps.values() if d not in own], outs, fingerprint(s.fn), json.dumps(s.params, sort_keys=True)))
+            rows.append((s.name, s.variant, list(s.mutex), [d for d in s.deps.values() if d not in own], outs, s.manifest(), json.dumps(s.values(), sort_keys=True)))
         return spark.createDataFrame(rows, SCHEMAS["stages"])
 
     def makers(self) -> dict[str, set[str]]:

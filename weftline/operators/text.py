@@ -13,9 +13,9 @@ from weftline.functions.scalars import shown_number
 SIGNS = {"added": "+", "removed": "-", "modified": "~"}
 
 
-def format_table(df: DataFrame, kind: str = "plain", rows: int = 1000, empty: str = "") -> str:
-    """The first rows as plain text, Markdown or JSON; for results that are read by people."""
-    found = [r.asDict(recursive=True) for r in df.limit(rows).collect()]
+def format_table(df: DataFrame, kind: str = "plain", empty: str = "") -> str:
+    """All rows as plain text, Markdown or JSON; for results that are read by people, which the caller keeps as short as they want."""
+    found = [r.asDict(recursive=True) for r in df.collect()]
     if kind == "json":
         return json.dumps(found, default=str)
     if not found:

@@ -7,23 +7,45 @@ from pyspark.sql import functions as F
 
 from weftline.plans.scratch import materialize, release
 
+#: Rounds after which the pairs known are written together.
+COMPACT = 8
+
 
 def reachable(edges: DataFrame, seeds: DataFrame | None = None, src: str = "src", dst: str = "dst") -> DataFrame:
     """Distinct (src, dst) with a path of one or more edges; from the seeds (column ``src``) if given.
 
-    The pairs known and the newest pairs are kept apart, so a round joins only the newest.
-    Cycles end it, as no pair is new.
+    The pairs known and the newest pairs are kept apart, so a round joins only the newest;
+    what is known is written together every COMPACT rounds. Cycles end it, as no pair is new.
     """
     step = materialize(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct(), "closure-edges")
     newest = step if seeds is None else materialize(step.join(seeds.select("src").distinct(), "src", "left_semi"), "closure")
-    known = newest
+    known, parts = newest, 1
     while True:
         ahead = newest.select("src", F.col("dst").alias("via")).join(step.select(F.col("src").alias("via"), "dst"), "via").select("src", "dst").distinct()
         fresh = materialize(ahead.join(known, ["src", "dst"], "left_anti"), "closure")
         if fresh.isEmpty():
             release(fresh)
             return known
-        newest, known = fresh, known.union(fresh)
+        newest, known, parts = fresh, known.union(fresh), parts + 1
+        if parts >= COMPACT:
+            known, parts = materialize(known, "closure-known"), 1
+
+
+def cyclic_part(edges: DataFrame) -> DataFrame:
+    """The edges (src, dst) that are left when nodes without incoming, then without outgoing edges are taken away until there are none."""
+    left = materialize(edges.select("src", "dst").distinct(), "cyclic")
+    for near, far in (("src", "dst"), ("dst", "src")):
+        size = left.count()
+        while size:
+            ends = left.select(near).distinct().join(left.select(F.col(far).alias(near)).distinct(), near, "left_anti")
+            after = materialize(left.join(ends, near, "left_anti").select("src", "dst"), "cyclic")
+            remaining = after.count()
+            release(left)
+            left = after
+            if remaining == size:
+                break
+            size = remaining
+    return left
 
 
 def longest_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -99,23 +99,23 @@ def file_hash_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cache.file_hash_lookup(old.select("path"), outs, old.where("doc_id % 3 = 0").select("path", F.concat(F.lit("t"), "hash").alias("hash")))
 
 
-@query(f"SELECT DISTINCT hash FROM ({I.OLD_FILES}) WHERE source IN ('src1', 'src2') OR (source = 'src3' AND doc_id % 2 = 0) OR (source = 'src4' AND doc_id % 3 = 0)")
+@query(f"SELECT DISTINCT hash FROM ({I.OLD_FILES}) WHERE source IN ('src1', 'src2') OR (source = 'src3' AND doc_id % 2 = 0) OR (source NOT IN ('src1', 'src2', 'src3') AND doc_id % 3 = 0)")
 def target_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, _ = I.file_snapshots(spark, sf_dir)
     none = F.lit(None).cast("array<struct<relpath:string,hash:string,size:bigint,isexec:boolean>>").alias("manifest")
-    outs = old.where("source in ('src1', 'src2', 'src4')").select(F.when(F.col("source") == "src4", "other").otherwise(F.col("source")).alias("stage"), "path", "hash", F.lit(True).alias("cached"), none)
+    outs = old.where("source <> 'src3'").select(F.when(~F.col("source").isin("src1", "src2"), "other").otherwise(F.col("source")).alias("stage"), "path", "hash", F.lit(True).alias("cached"), none)
     tracked = old.where("source = 'src3'").select("path", "hash", none)
     wanted = old.where("source in ('src1', 'src2')").select(F.col("source").alias("target")).distinct()
-    wanted = wanted.union(old.where("(source = 'src3' and doc_id % 2 = 0) or (source = 'src4' and doc_id % 3 = 0)").select("path"))
+    wanted = wanted.union(old.where("(source = 'src3' and doc_id % 2 = 0) or (source not in ('src1', 'src2', 'src3') and doc_id % 3 = 0)").select("path"))
     return cache.target_hashes(wanted, outs, tracked)
 
 
-@query(f"SELECT path, hash FROM ({I.OLD_FILES}) WHERE doc_id % 2 = 0 OR source = 'src5'")
+@query(f"SELECT path, hash FROM ({I.OLD_FILES}) ")
 def tracked_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, _ = I.file_snapshots(spark, sf_dir)
     single = old.where("doc_id % 2 = 0").select("path", "hash", F.lit(None).cast("array<struct<relpath:string,hash:string>>").alias("manifest"))
-    inside = F.regexp_replace("path", "^docs/src5/", "")
-    folder = old.where("source = 'src5'").groupBy().agg(F.collect_list(F.struct(inside.alias("relpath"), "hash")).alias("manifest")).select(F.lit("docs/src5/").alias("path"), F.lit("f").alias("hash"), "manifest")
+    inside = F.regexp_replace("path", "^docs/[^/]*/", "")
+    folder = old.where("doc_id % 2 = 1").groupBy("source").agg(F.collect_list(F.struct(inside.alias("relpath"), "hash")).alias("manifest")).select(F.concat(F.lit("docs/"), "source", F.lit("/")).alias("path"), F.lit("f").alias("hash"), "manifest")
     return staleness.tracked_hash(old.select("path"), single.union(folder))
 
 

@@ -25,12 +25,15 @@ def detect_format(path: str) -> str:
 
 
 def read_table(spark: SparkSession, path: str | Sequence[str], schema: str | None = None, sep: str = ",", kind: str | None = None) -> DataFrame:
-    """A table of CSV, JSON or JSON lines; types are inferred unless a schema is given, and dates stay text."""
+    """A table of CSV, JSON or JSON lines; types are inferred unless a schema is given, and dates stay text.
+
+    CSV is read in splits unless a quoted value may go on over lines, which a pass over the lines tells.
+    """
     kind = kind or detect_format(path if isinstance(path, str) else path[0])
     reader = spark.read if schema is None else spark.read.schema(schema)
     paths = path if isinstance(path, str) else list(path)
     if kind == "csv":
-        return reader.option("header", True).option("inferSchema", schema is None).option("preferDate", False).option("timestampFormat", "'none'").option("sep", sep).option("multiLine", True).option("escape", '"').csv(paths)
+        return reader.option("header", True).option("inferSchema", schema is None).option("preferDate", False).option("timestampFormat", "'none'").option("sep", sep).option("multiLine", _spans_lines(spark, paths)).option("escape", '"').csv(paths)
     if kind == "json":
         return reader.option("multiLine", True).option("inferTimestamp", False).json(paths)
     if kind == "jsonl":
@@ -38,6 +41,12 @@ def read_table(spark: SparkSession, path: str | Sequence[str], schema: str | Non
     raise FormatError(f"{path}: unknown format")
 
 
+def _spans_lines(spark: SparkSession, paths: str | list[str]) -> bool:
+    """Whether a line of the files has an odd number of quotes, as records that go on over lines have."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(paths).where(quotes % 2 == 1).isEmpty()
+
+
 def peek_schema(spark: SparkSession, path: str) -> dict[str, str]:
     """Column types, of CSV and JSON lines from the first rows only."""
     kind = detect_format(path)
@@ -55,7 +64,7 @@ def row_count(spark: SparkSession, path: str) -> int:
     """Rows without reading values: CSV records without the header, physical lines of JSON lines, elements of JSON."""
     kind = detect_format(path)
     if kind == "csv":
-        return max(0, spark.read.option("multiLine", True).option("header", True).option("escape", '"').csv(path).count())
+        return max(0, spark.read.option("multiLine", _spans_lines(spark, path)).option("header", True).option("escape", '"').csv(path).count())
     if kind == "jsonl":
         return spark.read.text(path).count()
     return read_table(spark, path).count()
@@ -67,12 +76,16 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of JSON lines, blank lines aside; a line that isn't JSON raises FormatError with its place."""
-    lines = read_lines(spark, path).where(F.trim("line") != "")
-    bad = lines.where(F.try_parse_json("line").isNull()).orderBy("line_no").first()
-    if bad:
-        raise FormatError(f"{path}:{bad['line_no']}: not JSON")
-    return lines.orderBy("line_no").select(F.from_json("line", schema).alias("r")).select("r.*")
+    """Rows of JSON lines, in the order of the file, blank lines aside; a line that isn't JSON raises FormatError with its place.
+
+    Lines are read in splits; only to name a bad one are they numbered.
+    """
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    bad = F.try_parse_json(F.col("value")).isNull()
+    if not lines.where(bad).isEmpty():
+        first = read_lines(spark, path).where(F.trim("line") != "").where(F.try_parse_json("line").isNull()).agg(F.min("line_no")).first()[0]
+        raise FormatError(f"{path}:{first}: not JSON")
+    return lines.select(F.from_json("value", schema).alias("r")).select("r.*")
 
 
 def read_object(spark: SparkSession, path: str):

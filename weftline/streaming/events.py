@@ -51,15 +51,23 @@ def state_changes(events: DataFrame, key: str, state: str) -> DataFrame:
 
 def producer_runs(events: DataFrame, key: str, start: str, end: str) -> DataFrame:
     """(key, start_ts, end_ts): each start of a key and the first end after it."""
-    per_key = Window.partitionBy(key).orderBy("ts", "event_id").rowsBetween(1, Window.unboundedFollowing)
-    ahead = events.withColumn("end_ts", F.first(F.when(F.col("event_type") == end, F.col("ts")), ignorenulls=True).over(per_key))
+    later = Window.partitionBy(key).orderBy(F.desc("ts"), F.desc("event_id")).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = events.withColumn("end_ts", F.last(F.when(F.col("event_type") == end, F.col("ts")), ignorenulls=True).over(later))
     return ahead.where((F.col("event_type") == start) & F.col("end_ts").isNotNull()).select(key, F.col("ts").alias("start_ts"), "end_ts")
 
 
 def deferred(changes: DataFrame, runs: DataFrame, key: str) -> DataFrame:
-    """Changes with ``effective_ts``: the latest end of its producer's runs around it, else its own time."""
-    held = changes.join(runs, key).where("ts >= start_ts and ts < end_ts").groupBy("event_id").agg(F.max("end_ts").alias("held_until"))
-    return changes.join(held, "event_id", "left").withColumn("effective_ts", F.coalesce("held_until", "ts")).withColumn("deferred", F.col("held_until").isNotNull())
+    """Changes with ``effective_ts``: the latest end of its producer's runs around it, else its own time.
+
+    A run around a change has begun by then and not ended, so the latest end of the runs begun says it: one window, no join.
+    """
+    rest = F.struct(*changes.columns).alias("change")
+    starts = runs.where(F.col(key).isNotNull()).select(key, F.col("start_ts").alias("at"), "end_ts", F.lit(None).cast(changes.select(rest).schema["change"].dataType).alias("change"))
+    moments = changes.select(key, F.col("ts").alias("at"), F.lit(None).cast(runs.schema["end_ts"].dataType).alias("end_ts"), rest)
+    begun = Window.partitionBy(key).orderBy("at", F.col("change").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    latest = starts.union(moments).withColumn("latest", F.max("end_ts").over(begun)).where("change is not null")
+    held = latest.select("change.*", F.when(F.col("latest") > F.col("at"), F.col("latest")).alias("held_until"))
+    return held.withColumn("effective_ts", F.coalesce("held_until", "ts")).withColumn("deferred", F.col("held_until").isNotNull())
 
 
 def completions(events: DataFrame, key: str) -> DataFrame:
