@@ -39,9 +39,9 @@ from weftline.plans.scratch import new_path
 
 WINDOW = 1024
 #: Documents of one index shard, which a task holds in memory; a document counts as one for each DOCUMENT_TOKENS tokens or part of them.
-SHARD_DOCUMENTS, DOCUMENT_TOKENS = 2048, 1024
+SHARD_DOCUMENTS, DOCUMENT_TOKENS = 4096, 1024
 #: Directions that term weights are projected on, and documents of the sample that the tree of splits is learned from, in all and least in a leaf.
-PROJECTIONS, DRAWN, LEAST_DRAWN = 32, 32768, 16
+PROJECTIONS, DRAWN, LEAST_DRAWN = 64, 32768, 16
 #: Share of a shard's documents from which a term is held in a matrix.
 DENSE_SHARE = 0.13
 #: BM25's constants.
