@@ -176,7 +176,7 @@ def _cell_rows(classes: DataFrame, plan: Plan) -> DataFrame:
 
 def _tasks(rows: DataFrame) -> DataFrame:
     """spot, cell, first and second block, and key: the members of every cell, or of every two blocks of a large one."""
-    sizes = rows.groupBy("spot", "cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sizes = materialize(rows.groupBy("spot", "cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "cell-sizes")  # written, so that Spark can split the rows of a large cell
     blocks = F.ceil(F.col("n") / BLOCK)
     placed = rows.join(sizes, ["spot", "cell"]).withColumn("block", F.pmod(F.xxhash64("key"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     return placed.select("spot", "cell", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "key", "block")
