@@ -109,10 +109,14 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def as_text(fingerprint: Column) -> Column:
-    """A fingerprint as position:anchor (its low 32 bits) in lower-case hex, comma-joined; those over characters after a semicolon."""
+    """A fingerprint as lower-case hex: for each anchor a digit that says how many tokens it stands after the one before (closed syncmers stand at most four apart), and eight for its low 32 bits; those over characters after a semicolon."""
 
     def of(anchors: Column) -> Column:
-        return F.array_join(F.transform(anchors, lambda a: F.lower(F.concat(F.hex(a["position"]), F.lit(":"), F.lpad(F.hex(a["anchor"].bitwiseAND(0xFFFFFFFF)), 8, "0")))), ",")
+        def one(a: Column, i: Column) -> Column:
+            before = F.when(i > 0, F.get(anchors, i - 1)["position"]).otherwise(0)
+            return F.concat(F.hex(a["position"] - before), F.lpad(F.hex(a["anchor"].bitwiseAND(0xFFFFFFFF)), 8, "0"))
+
+        return F.lower(F.array_join(F.transform(anchors, one), ""))
 
     return F.concat(of(fingerprint["words"]), F.when(F.size(fingerprint["characters"]) > 0, F.concat(F.lit(";"), of(fingerprint["characters"]))).otherwise(""))
 
