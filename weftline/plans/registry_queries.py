@@ -28,10 +28,10 @@ def _outs(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     path = F.concat(F.lit("/work/out/"), k.cast("string"), F.when(k % 5 == 0, "/").otherwise(""))
     kind = F.when(k % 3 == 0, "metric").otherwise("data")
-    return I.table(spark, sf_dir, "part").select(F.concat(F.lit("stage_"), k.cast("string")).alias("stage"), F.col("p_mfgr").alias("name"), path.alias("path"), kind.alias("kind"), (k % 2 == 0).alias("cached"), k.alias("k"))
+    return I.table(spark, sf_dir, "part").select(F.concat(F.lit("stage_"), k.cast("string")).alias("stage"), F.col("p_brand").alias("name"), path.alias("path"), kind.alias("kind"), (k % 2 == 0).alias("cached"), k.alias("k"))
 
 
-OUTS = """SELECT 'stage_' || p_partkey AS stage, p_mfgr AS name, '/work/out/' || p_partkey || CASE WHEN p_partkey % 5 = 0 THEN '/' ELSE '' END AS path,
+OUTS = """SELECT 'stage_' || p_partkey AS stage, p_brand AS name, '/work/out/' || p_partkey || CASE WHEN p_partkey % 5 = 0 THEN '/' ELSE '' END AS path,
   CASE WHEN p_partkey % 3 = 0 THEN 'metric' ELSE 'data' END AS kind, p_partkey % 2 = 0 AS cached, p_partkey AS k FROM part"""
 
 
@@ -143,11 +143,11 @@ def unresolved_deps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.unresolved_deps(stages, tracked)
 
 
-@query("""SELECT p_mfgr AS name, CASE WHEN p_mfgr IN (SELECT p_mfgr FROM part WHERE p_partkey % 2 = 0) THEN 'sub/' || p_mfgr || '_3' ELSE 'sub/' || p_mfgr END AS new_name FROM part GROUP BY p_mfgr""")
+@query("""SELECT p_brand AS name, CASE WHEN p_brand IN (SELECT p_brand FROM part WHERE p_partkey % 2 = 0) THEN 'sub/' || p_brand || '_3' ELSE 'sub/' || p_brand END AS new_name FROM part GROUP BY p_brand""")
 def included_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = I.table(spark, sf_dir, "part").where("p_partkey % 2 = 0").select(F.col("p_mfgr").alias("name")).distinct()
+    own = I.table(spark, sf_dir, "part").where("p_partkey % 2 = 0").select(F.col("p_brand").alias("name")).distinct()
     taken = own.union(own.select(F.concat(F.lit("sub/"), "name"))).union(own.select(F.concat(F.lit("sub/"), "name", F.lit("_2")))).union(own.select(F.concat(F.lit("sub/"), "name", F.lit("_4"))))
-    return graph.include_pipeline(taken, I.table(spark, sf_dir, "part").select(F.col("p_mfgr").alias("name")).distinct(), "sub")
+    return graph.include_pipeline(taken, I.table(spark, sf_dir, "part").select(F.col("p_brand").alias("name")).distinct(), "sub")
 
 
 @query("""SELECT event_id, 'a' AS key, '{"k":' || user_id || '}' AS value FROM events UNION ALL SELECT event_id, 'b', '{' || event_type FROM events
@@ -188,18 +188,16 @@ def colliding_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return expand.colliding_leaves(keys("a.", 0).union(keys("b.", 1)))
 
 
-@query("SELECT p_name AS key, arg_max(p_brand, prio) AS value, arg_max(src, prio) AS source FROM (SELECT p_name, p_brand, 0 AS prio, 'default' AS src FROM part UNION ALL SELECT p_name, p_type, 1, 'global' FROM part WHERE p_partkey % 2 = 0) GROUP BY p_name HAVING count(*) <= 2")
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS key, CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE p_brand END AS value, CASE WHEN p_partkey % 2 = 0 THEN 'global' ELSE 'default' END AS source FROM part""")
 def layered_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = I.table(spark, sf_dir, "part")
-    once = p.groupBy("p_name").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("p_partkey") % 2 == 0).alias("even")).where("n + even <= 2").select("p_name")
-    p = p.join(once, "p_name", "left_semi")
-    layer = lambda rows, value, name, priority: rows.select(F.col("p_name").alias("key"), F.col(value).alias("value"), F.lit(name).alias("source"), F.lit(priority).alias("priority"))
+    layer = lambda rows, value, name, priority: rows.select(F.col("p_partkey").cast("string").alias("key"), F.col(value).alias("value"), F.lit(name).alias("source"), F.lit(priority).alias("priority"))
     return expand.layered_value(layer(p, "p_brand", "default", 0).union(layer(p.where("p_partkey % 2 = 0"), "p_type", "global", 1)))
 
 
-@query("SELECT p_brand AS stage, p_type AS path FROM part UNION ALL SELECT p_brand, p_name FROM part UNION ALL SELECT p_brand, p_mfgr FROM part")
+@query("SELECT p_brand AS stage, p_type AS path FROM part UNION ALL SELECT p_brand, p_name FROM part UNION ALL SELECT p_brand, p_brand FROM part")
 def flattened_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nested = F.array(F.array("p_type", "p_name"), F.array("p_mfgr"))
+    nested = F.array(F.array("p_type", "p_name"), F.array("p_brand"))
     return expand.flattened_lists(I.table(spark, sf_dir, "part").select(F.col("p_brand").alias("stage"), nested.alias("deps")), "deps")
 
 
@@ -208,7 +206,7 @@ def needs_full_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.needs_full_definitions(I.table(spark, sf_dir, "part").select(F.col("p_name").alias("stage"), F.lit("mapping").alias("kind"), (F.col("p_size") == 50).alias("has_variants")))
 
 
-@query("SELECT 'd' || p_partkey AS dimension, 0 AS ordinal, p_brand AS value FROM part UNION ALL SELECT 'd' || p_partkey, 1, p_mfgr FROM part")
+@query("SELECT 'd' || p_partkey AS dimension, 0 AS ordinal, p_brand AS value FROM part UNION ALL SELECT 'd' || p_partkey, 1, p_name FROM part")
 def dimension_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spec = F.when(F.col("p_partkey") % 2 == 0, F.format_string('["%s", "%s"]', "p_brand", "p_mfgr")).otherwise(F.format_string('{"%s": {"x": 1}, "%s": null}', "p_brand", "p_mfgr"))
+    spec = F.when(F.col("p_partkey") % 2 == 0, F.format_string('["%s", "%s"]', "p_brand", "p_name")).otherwise(F.format_string('{"%s": {"x": 1}, "%s": null}', "p_brand", "p_name"))
     return registry.dimension_keys(I.table(spark, sf_dir, "part").select(F.concat(F.lit("d"), F.col("p_partkey").cast("string")).alias("dimension"), spec.alias("spec")))
