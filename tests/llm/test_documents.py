@@ -535,7 +535,7 @@ def plain_links(fingerprint):
 
 
 def plain_text(fingerprint):
-    words, characters = (",".join(f"{k:x}:{a & 0xFFFFFFFF:08x}" for k, a in found) for found in fingerprint)
+    words, characters = ("".join(f"{k - before:x}{a & 0xFFFFFFFF:08x}" for (before, _), (k, a) in zip([(0, 0), *found], found)) for found in fingerprint)
     return words + (";" + characters if characters else "")
 
 
@@ -663,7 +663,8 @@ def test_patterns_of_copies_are_learned_from(spark, monkeypatch):
     monkeypatch.setattr(quality, "OF_PATTERN", 1)
     junk = ["!!! ??? !!! ???", "1 2 3 4 5 6 7", "AAA BBB CCC DDD EEE"]
     assert len({quality.votes_of(quality.facts_of(t)) for t in junk}) == 3
-    quality.train(spark.createDataFrame([(t,) for t in junk for _ in range(3000)], "text string"))
+    rows, names = quality._analysed(spark.createDataFrame([(t,) for t in junk for _ in range(3000)], "text string"), "text", keep_text=False)
+    quality.train(rows.toDF("digest", "votes", "features"))
     assert seen == [3]
 
 

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftline.llm.caches import bounded, keep
 from weftline.plans.scratch import materialize
@@ -201,23 +202,37 @@ class Scorer:
     bias: float
     labels: LabelModel | None = field(default=None)
 
-    def score(self, features: dict[int, float]) -> float:
-        z = self.bias + sum(float(self.weights[k]) * v for k, v in sorted(features.items()))
-        return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
+    def scores(self, features: list[bytes]) -> np.ndarray:
+        """Score of each text by its stored features."""
+        owner, at, value = unpacked(features)
+        z = np.bincount(owner, self.weights[at].astype(np.float64) * value, len(features)) + self.bias
+        return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+
+
+def packed(features: dict[int, float]) -> bytes:
+    """Features in order as two bytes a bucket, then eight a value."""
+    at = sorted(features)
+    return np.array(at, "<u2").tobytes() + np.array([features[k] for k in at], "<f8").tobytes()
+
 
+def unpacked(features: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, bucket and value of all features of the texts."""
+    sizes = [len(f) // 10 for f in features]
+    at = np.frombuffer(b"".join(f[: 2 * n] for f, n in zip(features, sizes, strict=True)), "<u2").astype(np.int64)
+    value = np.frombuffer(b"".join(f[2 * n :] for f, n in zip(features, sizes, strict=True)), "<f8")
+    return np.repeat(np.arange(len(features)), sizes), at, value
 
-def fit_scorer(rows: list[dict[int, float]], target: np.ndarray, weight: np.ndarray) -> Scorer:
+
+def fit_scorer(features: list[bytes], target: np.ndarray, weight: np.ndarray) -> Scorer:
     """Logistic regression on posterior labels, by steps scaled to how often a feature occurs."""
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    at = np.array([k for r in rows for k in sorted(r)], np.int64)
-    value = np.array([r[k] for r in rows for k in sorted(r)])
+    owner, at, value = unpacked(features)
     weight = weight / weight.sum()
     theta, pace = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
     often = np.bincount(at, weight[owner] * value**2, BUCKETS + 1)
     scale = RATE / (10 * often + 0.05)
     scale[-1] = RATE
     for _ in range(EPOCHS):
-        z = np.bincount(owner, theta[at] * value, len(rows)) + theta[-1]
+        z = np.bincount(owner, theta[at] * value, len(features)) + theta[-1]
         slope = weight * (1 / (1 + np.exp(-np.clip(z, -60, 60))) - target)
         grad = np.bincount(at, slope[owner] * value, BUCKETS + 1)
         grad[-1] = slope.sum()
@@ -227,22 +242,29 @@ def fit_scorer(rows: list[dict[int, float]], target: np.ndarray, weight: np.ndar
     return Scorer(theta[:-1].astype(np.float32), float(theta[-1]))
 
 
-def _votes(texts: DataFrame) -> DataFrame:
-    """The votes on every text, and the hash by which the sample is taken; equal texts have equal ones."""
+def _analysed(df: DataFrame, text_col: str, keep_text: bool) -> tuple[DataFrame, tuple[str, str, str]]:
+    """The rows, without the text unless it is kept, with a digest of the text, its votes and its features, and what these columns are called; written, so that each text is analysed once."""
+    taken = set(df.columns)
+    added = tuple(next(n for n in (f"{base}_{k}" for k in range(len(taken) + 1)) if n not in taken) for base in ("digest", "votes", "features"))
+    names, text = df.columns, df.columns.index(text_col)
+    kept = [c for c in names if keep_text or c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            votes = [votes_of(facts_of(t)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(votes, pa.string())], ["digest", "votes"])
+            facts = [facts_of(t) for t in batch.column(text).to_pylist()]
+            columns = [batch.column(names.index(c)) for c in kept] + [batch.column(len(names))]
+            columns += [pa.array(map(votes_of, facts), pa.string()), pa.array([packed(features_of(f)) for f in facts], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, [*kept, *added])
 
-    return texts.select(F.xxhash64("text").alias("digest"), "text").mapInArrow(run, "digest long, votes string")
+    schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(added[0], T.LongType()), T.StructField(added[1], T.StringType()), T.StructField(added[2], T.BinaryType())])
+    digested = bounded(df).withColumn(added[0], F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
+    return materialize(digested.mapInArrow(run, schema), "quality-analysed"), added
 
 
-def train(texts: DataFrame) -> Scorer | None:
-    """Fit the label model on the votes on all texts and the scorer on a bounded sample; None for an empty table."""
-    votes = materialize(_votes(texts), "quality-votes")
-    # Of three answers of each labeller: at most 3**14 patterns, of which few occur.
-    found = votes.groupBy("votes").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("digest").alias("texts")).collect()
+def train(analysed: DataFrame) -> Scorer | None:
+    """Fit the label model on the votes on all texts and the scorer on a bounded sample of the (digest, votes, features) rows; None for an empty table."""
+    # Two answers of each labeller: at most 2**15 patterns, of which few occur.
+    found = analysed.groupBy("votes").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("digest").alias("texts")).collect()
     counts = {r["votes"]: r["n"] for r in found}
     if not counts:
         return None
@@ -251,26 +273,17 @@ def train(texts: DataFrame) -> Scorer | None:
     # Of each pattern the texts of least hash: first thinned by rate, so that no pattern's list holds many more than are taken.
     # Rates are over distinct texts and expect so many more than are taken that fewer (by over six deviations) never pass.
     expected = each + 10 * each**0.5 + 40
-    rates = texts.sparkSession.createDataFrame([(r["votes"], min(1.0, expected / r["texts"])) for r in found], "votes string, rate double")
+    rates = analysed.sparkSession.createDataFrame([(r["votes"], min(1.0, expected / r["texts"])) for r in found], "votes string, rate double")
     order = F.pmod(F.xxhash64(F.lit(3), "digest"), F.lit(1 << 40))
-    thin = votes.join(F.broadcast(rates), "votes").where(order < F.col("rate") * (1 << 40))
-    chosen = thin.select("votes", "digest", order.alias("at")).distinct().groupBy("votes").agg(F.slice(F.sort_array(F.collect_list(F.struct("at", "digest"))), 1, each).alias("some"))
-    chosen = chosen.select("votes", F.explode("some.digest").alias("digest"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [sorted(features_of(facts_of(t)).items()) for t in batch.column(2).to_pylist()]
-            columns = [batch.column(0), batch.column(1), pa.array([[k for k, _ in f] for f in found], pa.list_(pa.int32())), pa.array([[v for _, v in f] for f in found], pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["votes", "digest", "at", "value"])
-
-    # At most SAMPLE rows, so they may be broadcast.
-    with_text = texts.withColumn("digest", F.xxhash64("text")).join(F.broadcast(chosen), "digest").select("votes", "digest", "text").dropDuplicates(["digest"])
-    rows = {r["digest"]: r for r in with_text.mapInArrow(run, "votes string, digest long, at array<int>, value array<double>").collect()}
-    taken = [rows[k] for k in sorted(rows)]
+    thin = analysed.join(F.broadcast(rates), "votes").where(order < F.col("rate") * (1 << 40))
+    # Equal texts have equal features, so these go along with the digests: at most SAMPLE rows, or one a pattern.
+    distinct = thin.groupBy("votes", "digest").agg(F.first("features").alias("features"))
+    chosen = distinct.groupBy("votes").agg(F.slice(F.sort_array(F.collect_list(F.struct(order.alias("at"), "digest", "features"))), 1, each).alias("some"))
+    taken = sorted(chosen.select("votes", F.explode("some").alias("s")).select("votes", "s.digest", "s.features").collect(), key=lambda r: r["digest"])
     patterns = [r["votes"] for r in taken]
     per_pattern = Counter(patterns)
     weight = np.array([counts[p] ** 0.5 / per_pattern[p] for p in patterns])
-    scorer = fit_scorer([dict(zip(r["at"], r["value"], strict=True)) for r in taken], model.posterior(patterns), weight)
+    scorer = fit_scorer([bytes(r["features"]) for r in taken], model.posterior(patterns), weight)
     scorer.labels = model
     return scorer
 
@@ -278,33 +291,34 @@ def train(texts: DataFrame) -> Scorer | None:
 def quality_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, votes, weak_label (the label model's chance of good), score (the scorer's) and kept (whether it isn't rejected) of every document."""
     kind = df.schema[id_col].dataType.simpleString()
-    texts = bounded(df).select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    scorer = train(texts)
+    rows, added = _analysed(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", keep_text=False)
+    rows = rows.select("doc_id", *[F.col(a).alias(b) for a, b in zip(added, ("digest", "votes", "features"), strict=True)])
+    scorer = train(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         posterior: dict[str, float] = {}
         for batch in batches:
-            facts = [facts_of(t) for t in batch.column(1).to_pylist()]
-            votes = [votes_of(f) for f in facts]
+            votes = batch.column(1).to_pylist()
             if new := sorted({*votes} - {*posterior}):
                 posterior.update(zip(new, scorer.labels.posterior(new).tolist(), strict=True))
-            scores = [scorer.score(features_of(f)) for f in facts]
-            columns = [batch.column(0), pa.array(votes, pa.string()), pa.array([posterior[v] for v in votes], pa.float64()), pa.array(scores, pa.float64()), pa.array([s >= THRESHOLD for s in scores], pa.bool_())]
+            scores = scorer.scores(batch.column(2).to_pylist())
+            columns = [batch.column(0), batch.column(1), pa.array([posterior[v] for v in votes], pa.float64()), pa.array(scores, pa.float64()), pa.array(scores >= THRESHOLD, pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "votes", "weak_label", "score", "kept"])
 
-    return texts.mapInArrow(run, f"doc_id {kind}, votes string, weak_label double, score double, kept boolean")
+    return rows.select("doc_id", "votes", "features").mapInArrow(run, f"doc_id {kind}, votes string, weak_label double, score double, kept boolean")
 
 
 def keep_good(df: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows, with their columns, that a scorer trained on all of them doesn't reject."""
-    names = df.columns
-    scorer = train(bounded(df).select(F.coalesce(F.col(text_col), F.lit("")).alias("text")))
+    rows, added = _analysed(df, text_col, keep_text=True)
+    scorer = train(rows.select(*[F.col(a).alias(b) for a, b in zip(added, ("digest", "votes", "features"), strict=True)]))
     if scorer is None:
         return df
+    names, features = df.columns, rows.columns.index(added[2])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = [scorer.score(features_of(facts_of(t))) >= THRESHOLD for t in batch.column(names.index(text_col)).to_pylist()]
-            yield batch.filter(pa.array(good, pa.bool_()))
+            good = scorer.scores(batch.column(features).to_pylist()) >= THRESHOLD
+            yield batch.select(list(range(len(names)))).filter(pa.array(good, pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return rows.mapInArrow(run, df.schema)
