@@ -32,4 +32,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         before, state = state, _round(state)
         release(before)
         if not state.agg(F.max("new")).first()[0]:
-            return state.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out = state.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out._weftline_path = state._weftline_path  # the caller may release it
+            return out

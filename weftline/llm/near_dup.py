@@ -45,7 +45,7 @@ from pyspark.sql import types as T
 
 from weftline.llm.caches import bounded, keep
 from weftline.llm.components import connected_components
-from weftline.plans.scratch import materialize
+from weftline.plans.scratch import materialize, release
 
 WORDS, PERCENT = 5, 75
 PLACES, TREES, LEAF, DEPTH = 64, 10, 512, 4
@@ -439,16 +439,19 @@ def _forests(level: DataFrame, last: bool) -> DataFrame:
     return dealt.mapInArrow(run, "a binary, b binary, node long, sketch binary")
 
 
-def _candidate_edges(classes: DataFrame) -> DataFrame:
-    """Edges (a, b) whose components are the clusters."""
+def _clusters(classes: DataFrame) -> DataFrame:
+    """node and root of every class that the trees join with a smaller one: components of the edges of all forests."""
     hot = hot_nodes(*_drawn(classes))
     found = materialize(_forests(_spread(classes, hot), DEPTH == 1), "forests")
-    edges, depth = found, 1
+    edges, depth, tables = found, 1, [found]
     while not (large := found.where("node is not null")).isEmpty():
         depth += 1
         found = materialize(_forests(_branched(large), depth >= DEPTH), "forests")
         edges = edges.union(found)
-    return edges.where("b is not null").select("a", "b")
+        tables.append(found)
+    joined = connected_components(edges.where("b is not null").select("a", "b"))
+    release(*tables)
+    return joined
 
 
 # --- exact tests
@@ -651,18 +654,21 @@ def _large_clusters(sets: DataFrame, names: T.DataType) -> DataFrame:
 def _linked_classes(texts: DataFrame, classes: DataFrame) -> DataFrame:
     """key, root (smallest key of the group) and component_id (smallest rep) of every class that has a link."""
     names = classes.schema["rep"].dataType
-    state = connected_components(_candidate_edges(classes))
+    state = _clusters(classes)
     clusters = state.select(F.col("node").alias("key"), F.col("root").alias("cluster")).union(state.select("root", "root").distinct())
     found = clusters.join(classes.select("key", "rep", "n_shingles"), "key")
     sizes = found.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("together"))
     members = materialize(found.drop("n_shingles").join(sizes, "cluster").select("cluster", "key", "rep", "n", (F.col("together") * 8).alias("size")), "clusters")
+    release(state)
     sets = materialize(_full_sets(texts, members), "sets")
     fits = (F.col("n") <= CLUSTER) & (F.col("size") <= CLUSTER_BYTES)
     small = sets.where(fits).select(F.xxhash64("cluster").alias("task"), "key", "rep", "hashes", "sketch", F.lit(None).cast("binary").alias("group"))
     groups = materialize(_tested(small, names), "groups")
     if members.where(~fits).isEmpty():
+        release(sets, members)
         return groups
     found = materialize(_large_clusters(sets.where(~fits).dropDuplicates(["key"]), names), "large-groups")
+    release(sets, members)
     of_root = found.select(F.col("node").alias("key"), "root").union(found.select("root", "root").distinct()).join(classes.select("key", "rep"), "key")
     return groups.union(of_root.join(of_root.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("key", "root", "component_id"))
 
@@ -677,7 +683,7 @@ def _classified(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     of_class = classes.select("key", "rep", "copies").join(_linked_classes(texts.select("doc_id", "text"), classes), "key", "left").where("copies > 1 or root is not null")
     root = F.col("root").isNull()
     groups = of_class.select("key", F.coalesce("root", "key").alias("root"), F.when(root, F.col("rep")).otherwise(F.col("component_id")).alias("component_id"))
-    return rows.drop("tokens"), groups
+    return rows.drop("tokens"), materialize(groups, "near-dup-groups")  # written, so that Spark can split the rows of a class with many copies
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
