@@ -356,6 +356,12 @@ def test_token_files(spark, edges, nothing, byte_ids, edge_rows):
     assert [r[1] for r in out] == [0, *np.cumsum([r[2] for r in out])[:-1]]
     assert Counter((r[0], r[2], r[3]) for r in out) == Counter((i, len(byte_ids[i, t]), zlib.crc32(np.array(byte_ids[i, t], "<u4").tobytes())) for i, t in edge_rows)
     assert token_files.read_token_files(spark, token_files.write_token_files(nothing, BYTE)).isEmpty()
+    same = spark.createDataFrame([(None if k % 2 else 1, "the same words once more") for k in range(3000)], "doc_id long, text string")
+    files = token_files.write_token_files(same, BYTE, ids_per_file=2000)
+    sizes = [r["ids"] for r in files.manifest.collect()]
+    assert len(sizes) > 3 and max(sizes) < sum(sizes) / 2
+    out = sorted(map(tuple, token_files.read_token_files(spark, files).collect()), key=lambda r: r[1])
+    assert [r[0] for r in out] == [None] * 1500 + [1] * 1500 and [r[1] for r in out] == [k * out[0][2] for k in range(3000)]
 
 
 # --- 5 automaton

@@ -35,6 +35,11 @@ def test_stages_do_what_their_operators_say(spark):
     assert run.columns == frames[5].columns and run.select("doc_id", "start", "ids").exceptAll(frames[5].select("doc_id", "start", "ids")).isEmpty()
 
 
+def test_sharding_query_names_its_law(spark):
+    rows = queries.op2_sharding(spark, SF_DIR).select("law", "grown_shard", "shard").distinct().collect()
+    assert {(r["law"], r["grown_shard"]) for r in rows} == {("bytes", None)} and {r["shard"] for r in rows} == set(range(24))
+
+
 def test_empty_documents(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:

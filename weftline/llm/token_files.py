@@ -163,21 +163,31 @@ def write_token_files(df: DataFrame, vocab_path: str, folder: str | None = None,
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank_of = np.empty(size, np.uint32)
         rank_of[order] = np.arange(size, dtype=np.uint32)
-        doc_ids, parts = [], []
+        doc_ids, parts, held, number = [], [], 0, TaskContext.get().partitionId() << 32
+
+        def put() -> pa.RecordBatch:
+            nonlocal doc_ids, parts, held, number
+            lengths = np.array([len(x) // dtype.itemsize for x in parts], np.int64)
+            content = pack_file(doc_ids, lengths, rank_of[np.frombuffer(b"".join(parts), dtype)])
+            name = f"tokens-{uuid.uuid4().hex}.wltf"
+            _write(f"{folder}/{name}", content)
+            row = {"file_no": number, "file": name, "docs": len(doc_ids), "ids": int(lengths.sum()), "bytes": len(content)}
+            doc_ids, parts, held, number = [], [], 0, number + 1
+            return pa.RecordBatch.from_pylist([row])
+
         for batch in batches:
             doc_ids += batch.column(0).to_pylist()
             parts += batch.column(1).to_pylist()
-        if not doc_ids:
-            return
-        lengths = np.array([len(x) // dtype.itemsize for x in parts], np.int64)
-        content = pack_file(doc_ids, lengths, rank_of[np.frombuffer(b"".join(parts), dtype)])
-        number, name = TaskContext.get().partitionId(), f"tokens-{uuid.uuid4().hex}.wltf"
-        _write(f"{folder}/{name}", content)
-        row = {"file_no": number, "file": name, "docs": len(doc_ids), "ids": int(lengths.sum()), "bytes": len(content)}
-        yield pa.RecordBatch.from_pylist([row])
+            held += batch.column(1).nbytes // dtype.itemsize
+            if held >= 2 * ids_per_file:  # a range that turned out large goes on in another file
+                yield put()
+        if doc_ids:
+            yield put()
 
     files = max(1, -(-total // ids_per_file))
-    by_id = tokens.select("doc_id", "ids").repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", F.crc32("ids"))
+    order_by = [F.col("doc_id"), F.crc32("ids"), F.xxhash64("row")]  # so that rows of one id, or equal ones, can be split over ranges
+    numbered = tokens.select("doc_id", "ids", F.monotonically_increasing_id().alias("row"))
+    by_id = numbered.repartitionByRange(files, *order_by).sortWithinPartitions(*order_by).select("doc_id", "ids")
     manifest = materialize(by_id.mapInArrow(write, "file_no long, file string, docs long, ids long, bytes long"), "token-manifest")
     return TokenFiles(folder, manifest)
 
