@@ -641,7 +641,7 @@ def test_a_negative_rest_is_pushed_back():
     positive, unlabelled = np.zeros(400), np.ones(400)
     positive[:50] = 1
     unlabelled[:50] = 0
-    model = toxicity.fit(texts, words, positive, unlabelled, 0.5)
+    model = toxicity.fit(toxicity.Incidence.of(texts, len(words)), toxicity.parts_of_words(words), positive, unlabelled, 0.5)
     weight = np.array([model.word_weight(w) for w in words])
     scores = np.array([weight[t].sum() + model.bias for t in texts])
     assert scores[50:100].mean() > scores[100:].mean() + 0.3 and np.abs(scores).max() < 60

@@ -22,11 +22,13 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,20 +82,28 @@ class _WordWeights(dict):
         return out
 
 
-class _Incidence:
-    """Which of ``width`` columns each row has, for sums of what stands in a row's columns, and of what its rows give to a column."""
+class Incidence:
+    """Which of ``width`` columns each row has (``columns``, up to ``ends`` of each row), for sums of what stands in a row's columns, and of what its rows give to a column."""
 
-    def __init__(self, rows: list[np.ndarray], width: int):
-        self.columns = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
-        ends = np.cumsum([0, *(len(r) for r in rows)])
-        order = np.argsort(self.columns, kind="stable")
-        self.rows = np.repeat(np.arange(len(rows)), np.diff(ends))[order]
-        self.row_ends, self.column_ends = ends, np.searchsorted(self.columns[order], np.arange(width + 1))
+    def __init__(self, columns: np.ndarray, ends: np.ndarray, width: int):
+        self.columns, self.width = columns.astype(np.int32), width
+        order = np.argsort(self.columns, kind="stable").astype(np.int32)
+        self.rows = np.repeat(np.arange(len(ends) - 1, dtype=np.int32), np.diff(ends))[order]
+        self.row_ends, self.column_ends = ends, np.cumsum(np.r_[0, np.bincount(self.columns, minlength=width)])
+
+    @classmethod
+    def of(cls, rows: Iterable[np.ndarray], width: int) -> Incidence:
+        flat, ends = array("i"), [0]
+        for row in rows:
+            flat.extend(row)
+            ends.append(len(flat))
+        return cls(np.frombuffer(flat, np.int32) if flat else np.zeros(0, np.int32), np.array(ends), width)
 
     @staticmethod
     def _grouped(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        out = np.add.reduceat(np.append(values, 0.0), ends[:-1]) if len(ends) > 1 else np.zeros(0)
-        out[ends[:-1] == ends[1:]] = 0
+        out, full = np.zeros(len(ends) - 1), np.flatnonzero(ends[:-1] < ends[1:])
+        if len(full):
+            out[full] = np.add.reduceat(values, ends[:-1][full])
         return out
 
     def sums(self, columns: np.ndarray) -> np.ndarray:
@@ -103,12 +113,15 @@ class _Incidence:
         return self._grouped(rows[self.rows], self.column_ends)
 
 
-def fit(texts: list[np.ndarray], words: list[str], positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
-    """Minimise the risk over texts given as arrays of word numbers, by scaled gradient steps with momentum on the whole sample."""
+def parts_of_words(words: Iterable[str]) -> Incidence:
+    """The parts of each word; the column after the last part is for a bias."""
+    return Incidence.of(map(parts_of, words), BUCKETS + 1)
+
+
+def fit(text_words: Incidence, word_parts: Incidence, positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
+    """Minimise the risk over texts given by the words they have and words by their parts, by scaled gradient steps with momentum on the whole sample."""
     if not positive.any() or not unlabelled.any():
         return Model(np.zeros(BUCKETS, np.float32), -60.0)
-    parts = [np.array(parts_of(w), np.int64) for w in words]
-    word_parts, text_words = _Incidence(parts, BUCKETS + 1), _Incidence(texts, len(words))
     share_p, share_u = positive / positive.sum(), unlabelled / unlabelled.sum()
     # Each part's step is scaled by how often it occurs, so that common parts don't overshoot and a part of a single text moves little.
     often = word_parts.back(text_words.back(prior * share_p + share_u))
@@ -160,15 +173,23 @@ def train(texts: DataFrame, labels: DataFrame) -> Model:
     one = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "positive", "unlabelled").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
     sample = materialize(one.select("positive", "unlabelled", "text").mapInArrow(split, "positive boolean, unlabelled boolean, words array<string>"), "toxicity-sample")
     rows = sample.toArrow()
+    flags = [rows.column(c).to_numpy().astype(float) for c in ("positive", "unlabelled")]
     lists = rows.column("words").combine_chunks()
-    coded = lists.flatten().dictionary_encode()
-    words, ends = coded.dictionary.to_pylist(), lists.offsets.to_numpy()
-    rank = np.argsort(np.argsort(np.array(words, object), kind="stable"), kind="stable")
-    flat, words = rank[coded.indices.to_numpy()], sorted(words)
-    texts_of = [flat[a - ends[0] : b - ends[0]] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-    order = sorted(range(len(texts_of)), key=lambda k: texts_of[k].tobytes())  # sums in one order, whatever order the rows came in
-    flags = [rows.column(c).to_numpy().astype(float)[order] for c in ("positive", "unlabelled")]
-    return fit([texts_of[k] for k in order], words, *flags, prior)
+    coded, ends = lists.flatten().dictionary_encode(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    words = coded.dictionary
+    by_name = pc.array_sort_indices(words)
+    rank = np.empty(len(words), np.int32)
+    rank[by_name.to_numpy()] = np.arange(len(words), dtype=np.int32)
+    columns = rank[coded.indices.to_numpy()]
+    del rows, lists, coded
+    word_parts = parts_of_words(w.as_py() for w in words.take(by_name))
+    del words, by_name
+    # Sums in one order, whatever order the rows came in.
+    order = np.array(sorted(range(len(ends) - 1), key=lambda k: columns[ends[k] : ends[k + 1]].tobytes()), np.int64)
+    lengths = np.diff(ends)[order]
+    columns = np.concatenate([columns[ends[k] : ends[k + 1]] for k in order] or [columns])
+    text_words = Incidence(columns, np.cumsum(np.r_[0, lengths]), word_parts.row_ends.size - 1)
+    return fit(text_words, word_parts, *(f[order] for f in flags), prior)
 
 
 def score_texts(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
