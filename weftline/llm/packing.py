@@ -325,7 +325,7 @@ def _sharded(documents: DataFrame, tree: SplitTree) -> DataFrame:
                 part = batch.column("row").to_numpy() % parts[leaf]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(first[leaf] + part)], ["doc_id", "ids", "shard"])
 
-    numbered = documents.select("doc_id", "ids", "vector", F.abs(F.xxhash64(F.monotonically_increasing_id())).alias("row"))
+    numbered = documents.select("doc_id", "ids", "vector", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 62)).alias("row"))
     return numbered.mapInArrow(run, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, ids binary, shard long")
 
 
