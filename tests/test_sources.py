@@ -120,3 +120,14 @@ def test_objects_are_copied_once_with_a_row_each(spark, tmp_path):
     pulled = transfer.copy_objects(wanted, str(remote), str(tmp_path / "new")).cache()
     assert transfer.transfer_summary(pulled).first().asDict() == {"n_copied": 3, "n_failed": 1}
     assert (tmp_path / "new" / names[0][:2] / names[0][2:]).read_text() == names[0]
+
+
+def test_a_failed_write_leaves_what_was_there(spark, tmp_path):
+    path = str(tmp_path / "t.csv")
+    writers.save_table(spark.createDataFrame([(1,)], "id long"), path)
+    with pytest.raises(Exception):
+        writers.save_table(spark.createDataFrame([("x",)], "id string").selectExpr("cast(id as int) as id"), path)
+    writers.save_table(spark.createDataFrame([(2,), (3,)], "id long"), str(tmp_path / "u.jsonl"))
+    assert readers.read_table(spark, path).collect()[0]["id"] == 1 and sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["t.csv", "u.jsonl"]
+    writers.save_table(spark.createDataFrame([(5,)], "id long"), path)
+    assert [r["id"] for r in readers.read_table(spark, path).collect()] == [5]

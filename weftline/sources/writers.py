@@ -1,9 +1,10 @@
-"""Writers of outputs: all are checked before the first is written, and Spark's commit protocol makes each whole or absent."""
+"""Writers of outputs: all are checked before the first is written, and each is written beside its place and then moved there, so it is whole or as it was."""
 
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,13 +15,28 @@ from weftline.sources.readers import FormatError, detect_format
 def save_table(df: DataFrame, path: str, sep: str = ",") -> None:
     """CSV, JSON lines, or Parquet for other names; separators are kept."""
     kind = detect_format(path)
-    writer = df.write.mode("overwrite")
     if kind == "csv":
-        writer.option("header", True).option("sep", sep).csv(path)
+        _put(df, path, lambda to: df.write.option("header", True).option("sep", sep).csv(to))
     elif kind in ("json", "jsonl"):
-        writer.json(path)
+        _put(df, path, df.write.json)
     else:
-        writer.parquet(path)
+        _put(df, path, df.write.parquet)
+
+
+def _put(df: DataFrame, path: str, write: Callable[[str], None]) -> None:
+    """Write beside the path, then take away what is there and move the new table in its place."""
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    beside = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    target, made = (jvm.org.apache.hadoop.fs.Path(p) for p in (path.rstrip("/"), beside))
+    files = target.getFileSystem(conf)
+    try:
+        write(beside)
+        files.delete(target, True)
+        if not files.rename(made, target):
+            raise OSError(f"{beside} can't be moved to {path}")
+    except BaseException:
+        files.delete(made, True)
+        raise
 
 
 def save_outputs(outputs: dict[str, DataFrame], paths: dict[str, str]) -> list[str]:
