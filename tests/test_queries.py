@@ -42,3 +42,19 @@ def test_query_equals_sql(spark, duck, name):
 def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).columns[0] == "k"
+
+
+@pytest.fixture(scope="module")
+def recurring(spark, tmp_path_factory):
+    """A folder with orders of which two come again under keys that others have."""
+    folder = tmp_path_factory.mktemp("recurring")
+    rows = [(k, "O", float(k % 7), "5-LOW") for k in (29, 58, 87, 170, 1000029, 1000058, 1000100)]
+    spark.createDataFrame(rows, "o_orderkey bigint, o_orderstatus string, o_totalprice double, o_orderpriority string").write.parquet(f"{folder}/orders.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["diff_rows_by_key", "diff_rows_by_key_truncated", "diff_summary", "diff_summary_text"])
+def test_recurring_keys_equal_sql(spark, recurring, name):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW orders AS SELECT * FROM '{recurring}/orders.parquet/*.parquet'")
+    assert normal(catalog.QUERIES[name](spark, recurring).toPandas()) == normal(con.sql(catalog.ORACLE_SQL[name]).df())

@@ -61,7 +61,8 @@ def diff_rows_by_key(old: DataFrame, new: DataFrame, keys: Sequence[str], check:
     """Rows added, removed or modified by key: keys, ``key`` (JSON text), change_type, old and new values of the common columns.
 
     Only common columns are compared, so a new column modifies no row. With ``check``, a key
-    that occurs twice on one side raises DuplicateKeyError.
+    that occurs twice on one side raises DuplicateKeyError; without, each of its rows is
+    compared with each row of the key on the other side.
     """
     if check:
         for side, df in (("old", old), ("new", new)):
