@@ -62,6 +62,13 @@ def test_keys_order_as_text_and_truncate(spark):
     assert not diff.is_truncated(old, new, changes, ["id"], 12)
 
 
+def test_rows_of_one_key_truncate_alike_in_any_order(spark):
+    old = people(spark, (1, "a"))
+    new = [people(spark, *pairs).coalesce(1) for pairs in (((1, "b"), (1, "c"), (1, "d")), ((1, "d"), (1, "c"), (1, "b")))]
+    shown = [[tuple(r["new_values"]) for r in diff.truncated(diff.diff_rows_by_key(old, n, ["id"], check=False), 1).collect()] for n in new]
+    assert shown[0] == shown[1]
+
+
 def test_an_unchanged_key_after_the_last_change_truncates(spark):
     old = people(spark, (1, "a"), (2, "b"), (3, "c"))
     new = people(spark, (1, "x"), (2, "y"), (3, "c"))

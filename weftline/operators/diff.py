@@ -77,10 +77,14 @@ def _values(columns: Sequence[str]) -> list[Column]:
     return [F.when(F.col(side).isNotNull(), F.struct(*[F.col(f"{side}.{c}") for c in columns])).alias(f"{side}_values") for side in ("old", "new") if columns]
 
 
+def _row_hash(df: DataFrame) -> Column:
+    hashed = [f.name for f in df.schema if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+    return F.xxhash64(*[F.col(f"`{c}`") for c in hashed])
+
+
 def with_position(df: DataFrame, order: Sequence[str | Column], name: str = "position") -> DataFrame:
     """The 0-based place of every row in the given order, numbered range by range of the order; equal ones by a hash of the row, so that they can be split too."""
-    hashed = [f.name for f in df.schema if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
-    order = [*order, F.xxhash64(*[F.col(f"`{c}`") for c in hashed])]
+    order = [*order, _row_hash(df)]
     ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
     placed = materialize(ranged, "positions")
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -89,17 +93,17 @@ def with_position(df: DataFrame, order: Sequence[str | Column], name: str = "pos
     return placed.join(F.broadcast(bases), "_part").withColumn(name, F.col("_base") + F.row_number().over(within) - 1).drop("_part", "_base")
 
 
-def diff_rows_positional(old: DataFrame, new: DataFrame, order: Sequence[str | Column]) -> DataFrame:
-    """Rows compared by their place in ``order``, which rows of a table don't have by themselves."""
-    common = common_columns(old, new)
-    left, right = (with_position(df.select(*common), order) for df in (old, new))
+def diff_rows_positional(old: DataFrame, new: DataFrame, order: Sequence[str | Column], columns: Sequence[str] | None = None) -> DataFrame:
+    """Rows compared by their place in ``order``, which rows of a table don't have by themselves; ``order`` can name columns beside the compared ones (all common ones by default)."""
+    common = common_columns(old, new) if columns is None else list(columns)
+    left, right = (with_position(df, order).select("position", *common) for df in (old, new))
     found = outer_diff(left, right, ["position"], _rows_same(old, new, common))
     return found.select("position", "change_type", *_values(common))
 
 
 def truncated(changes: DataFrame, rows: int = MAX_ROWS, order: str = "key") -> DataFrame:
-    """The first changes by key text."""
-    return changes.orderBy(order).limit(rows)
+    """The first changes by key text, those of one key by a hash of the row."""
+    return changes.orderBy(order, _row_hash(changes)).limit(rows)
 
 
 def is_truncated(old: DataFrame, new: DataFrame, changes: DataFrame, keys: Sequence[str], rows: int = MAX_ROWS) -> bool:

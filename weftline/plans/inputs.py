@@ -17,10 +17,14 @@ NEW_ORDERS = """SELECT o_orderkey AS k, o_orderstatus AS st, CASE WHEN o_orderke
   UNION ALL SELECT o_orderkey + 1000000, o_orderstatus, o_totalprice, o_orderpriority FROM orders WHERE o_orderkey % 29 = 0"""
 
 
-def order_snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def order_snapshots(spark: SparkSession, sf_dir: str, branch: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The old and the new orders; with ``branch``, a column of that name says which part of the SQL a row is from."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("st"), F.col("o_totalprice").alias("p"), F.col("o_orderpriority").alias("pr"))
     changed = o.where("k % 17 <> 0").withColumn("p", F.expr("CASE WHEN k % 13 = 0 THEN p + 1 ELSE p END"))
-    return o, changed.union(o.where("k % 29 = 0").withColumn("k", F.col("k") + 1000000))
+    again = o.where("k % 29 = 0").withColumn("k", F.col("k") + 1000000)
+    if branch is None:
+        return o, changed.union(again)
+    return o.withColumn(branch, F.lit(0)), changed.withColumn(branch, F.lit(0)).union(again.withColumn(branch, F.lit(1)))
 
 
 #: Document files, and their hashes before and after: 1/11 is gone, 1/7 of the rest changed.
