@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 from weftline.functions import scalars as S
 from weftline.operators import cache, expand, graph, history, incremental, patterns, staleness
 from weftline.operators.runtime import Output, Pipeline, RegistryError, Stage, code_hash, fingerprint
-from weftline.plans.closure import longest_levels, reachable
+from weftline.plans import closure
+from weftline.plans.closure import longest_levels, reachable, reachable_after, reached
 from weftline.schemas import empty, parse_locks
 from weftline.streaming import events as E
 
@@ -63,6 +64,48 @@ def test_cycles_end(spark):
         longest_levels(spark.createDataFrame([("a",), ("b",), ("c",)], "node string"), loop)
 
 
+def chain(spark, length):
+    return spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(length)], "src string, dst string")
+
+
+def test_the_plan_of_levels_does_not_grow_with_the_graph(spark):
+    def joins(length):
+        found = longest_levels(chain(spark, length).select(F.col("src").alias("node")), chain(spark, length))
+        assert [r["level"] for r in found.orderBy("level").collect()] == list(range(length))
+        return found._jdf.queryExecution().optimizedPlan().toString().count("Join")
+
+    assert joins(2) == joins(7)
+
+
+def test_pairs_are_not_held_against_those_known_where_there_are_no_cycles(spark):
+    found = reachable(chain(spark, 5))
+    assert '"array"' in found._jdf.queryExecution().optimizedPlan().collectLeaves().apply(0).schema().json()
+    assert found.count() == 15
+
+
+@pytest.mark.parametrize("loop", [(), (("n6", "n1"),)])
+@pytest.mark.parametrize("sizes", [(65_536, 1024, 4_000_000), (3, 2, 5)])
+def test_pairs_and_nodes_equal_a_plain_search(spark, monkeypatch, loop, sizes):
+    for name, size in zip(("ARRAY", "FAN", "A_TASK"), sizes):
+        monkeypatch.setattr(closure, name, size)
+    edges = sorted({(f"n{d // k}", f"n{d}") for d in range(2, 24) for k in (2, 3) if d >= k} | set(loop))
+
+    def after(node):
+        seen, todo = set(), [node]
+        while todo:
+            here = todo.pop()
+            new = {d for s, d in edges if s == here} - seen
+            seen, todo = seen | new, todo + list(new)
+        return seen
+
+    df, starts = spark.createDataFrame(edges, "src string, dst string"), [("p", "n3"), ("p", "n5"), ("q", "z")]
+    seeds = spark.createDataFrame([("n2",), ("n5",), ("z",)], "src string")
+    assert rows(reachable(df), "src", "dst") == sorted((s, d) for s in {e[0] for e in edges} for d in after(s))
+    assert rows(reachable(df, seeds), "src", "dst") == sorted((s, d) for s in ("n2", "n5") for d in after(s))
+    assert rows(reached(df, seeds), "dst") == sorted((d,) for d in after("n2") | after("n5"))
+    assert rows(reachable_after(spark.createDataFrame(starts, "src string, dst string"), df), "src", "dst") == sorted(set(starts) | {(p, d) for p, s in starts for d in after(s)})
+
+
 def test_overlaps(spark):
     outs = spark.createDataFrame([("a", "x/y"), ("b", "x/y"), ("c", "x/"), ("d", "x2")], "stage string, path string")
     assert rows(graph.output_overlaps(outs), "kind", "stage_a", "stage_b") == [("a", "x/y", "b", "x/y", "duplicate"), ("c", "x/", "a", "x/y", "parent"), ("c", "x/", "b", "x/y", "parent")]

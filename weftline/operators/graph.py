@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.scalars import ancestors, stage_base, stage_variant
-from weftline.plans.closure import cyclic_part, longest_levels, reachable
+from weftline.plans.closure import cyclic_part, longest_levels, reachable, reachable_after, reached
 from weftline.plans.scratch import materialize
 
 ARTIFACT, STAGE = "artifact", "stage"
@@ -121,7 +121,7 @@ def upstream_once(edges: DataFrame, stage: str) -> DataFrame:
 
 def upstream_closure(edges: DataFrame, targets: DataFrame) -> DataFrame:
     """The targets (column ``stage``) and all that they depend on."""
-    back = reachable(stage_dag(edges), targets.select(F.col("stage").alias("src")))
+    back = reached(stage_dag(edges), targets.select(F.col("stage").alias("src")))
     return targets.select("stage").union(back.select(F.col("dst").alias("stage"))).distinct()
 
 
@@ -130,8 +130,13 @@ def affected_stages(edges: DataFrame, paths: DataFrame, include_downstream: bool
     direct = paths.select("path").distinct().join(edges.where(F.col("src_type") == ARTIFACT).select(F.col("src").alias("path"), F.col("dst").alias("stage")), "path")
     if not include_downstream:
         return direct.distinct()
-    further = downstream(edges, direct.select(F.col("stage").alias("src")))
-    return direct.union(direct.join(further, direct.stage == further.src).select("path", F.col("dst").alias("stage"))).distinct()
+    return reachable_after(direct.select(F.col("path").alias("src"), F.col("stage").alias("dst")), stage_edges(edges)).select(F.col("src").alias("path"), F.col("dst").alias("stage"))
+
+
+def touched_stages(edges: DataFrame, paths: DataFrame) -> DataFrame:
+    """Distinct stages that consume one of the paths or depend on one that does, without the pairs."""
+    direct = affected_stages(edges, paths, include_downstream=False).select("stage").distinct()
+    return direct.union(reached(stage_edges(edges), direct.select(F.col("stage").alias("src"))).select(F.col("dst").alias("stage"))).distinct()
 
 
 def levels(stages: DataFrame, edges: DataFrame) -> DataFrame:

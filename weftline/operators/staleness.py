@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators.cache import blob_hashes
-from weftline.operators.graph import affected_stages
-from weftline.plans.closure import reachable
+from weftline.operators.graph import touched_stages
+from weftline.plans.closure import reached
 
 # Reasons, in the order in which they are given.
 NO_RUN, CODE, PARAMS, DEPS, OUTS = "No previous run", "Code changed", "Params changed", "Input dependencies changed", "Output paths changed"
@@ -53,7 +53,7 @@ def propagate_stale(stages: DataFrame, edges: DataFrame) -> DataFrame:
     ``edges`` has src (maker) and dst.
     """
     seeds = stages.where("stale").select(F.col("stage").alias("src"))
-    touched = reachable(edges, seeds).select(F.col("dst").alias("stage")).union(seeds.select(F.col("src").alias("stage"))).distinct().withColumn("touched", F.lit(True))
+    touched = reached(edges, seeds).select(F.col("dst").alias("stage")).union(seeds.select(F.col("src").alias("stage"))).distinct().withColumn("touched", F.lit(True))
     makers = edges.select("src", "dst").distinct().join(touched.select(F.col("stage").alias("src")), "src", "left_semi")
     named = makers.groupBy(F.col("dst").alias("stage")).agg(F.array_join(F.array_sort(F.collect_list(F.col("src").cast("string"))), ",").alias("upstream"))
     return stages.join(touched, "stage", "left").join(named, "stage", "left").select("stage", F.coalesce("touched", F.lit(False)).alias("stale"), F.col("stale").alias("own"), F.coalesce("upstream", F.lit("")).alias("upstream"))
@@ -75,7 +75,7 @@ def tracked_status(tracked: DataFrame, files: DataFrame) -> DataFrame:
 
 def what_if_changed(edges: DataFrame, paths: DataFrame) -> DataFrame:
     """Distinct stages that a change of these paths would touch."""
-    return affected_stages(edges, paths).select("stage").distinct()
+    return touched_stages(edges, paths)
 
 
 def missing_objects(outs: DataFrame, local: DataFrame, remote: DataFrame | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.scalars import is_code
-from weftline.plans.closure import reachable
+from weftline.plans.closure import reached
 
 # Names of sink events, and states in their order.
 SINK_NAMES = {"stage_started": "stage_start", "stage_completed": "stage_complete", "engine_state_changed": None, "log_line": None, "stage_state_changed": None}
@@ -78,7 +78,7 @@ def completions(events: DataFrame, key: str) -> DataFrame:
 
 def failure_cascade(states: DataFrame, edges: DataFrame, failed: DataFrame) -> DataFrame:
     """(stage, state): what depends on a failed stage and hasn't started is blocked."""
-    below = reachable(edges, failed.select(F.col("stage").alias("src"))).select(F.col("dst").alias("stage")).distinct().withColumn("below", F.lit(True))
+    below = reached(edges, failed.select(F.col("stage").alias("src"))).select(F.col("dst").alias("stage")).withColumn("below", F.lit(True))
     blocked = F.col("below") & F.col("state").isin("pending", "ready")
     return states.join(below, "stage", "left").select("stage", F.when(F.coalesce(blocked, F.lit(False)), "blocked").otherwise(F.col("state")).alias("state"))
 
