@@ -106,6 +106,15 @@ def test_pairs_and_nodes_equal_a_plain_search(spark, monkeypatch, loop, sizes):
     assert rows(reachable_after(spark.createDataFrame(starts, "src string, dst string"), df), "src", "dst") == sorted(set(starts) | {(p, d) for p, s in starts for d in after(s)})
 
 
+def test_edge_changes_keep_copies_and_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(graph, "A_TASK", 2)
+    kind = "src string, src_type string, dst string, dst_type string"
+    a, b, c, d = [(x, "stage", x + ".csv", "artifact") for x in "abcd"]
+    found = graph.edge_changes(spark.createDataFrame([a, a, a, b, c], kind), spark.createDataFrame([a, b, d, d], kind))
+    assert rows(found, "src", "change_type") == [(*a, "removed"), (*a, "removed"), (*c, "removed"), (*d, "added"), (*d, "added")]
+    assert found.rdd.getNumPartitions() == 5
+
+
 def test_overlaps(spark):
     outs = spark.createDataFrame([("a", "x/y"), ("b", "x/y"), ("c", "x/"), ("d", "x2")], "stage string, path string")
     assert rows(graph.output_overlaps(outs), "kind", "stage_a", "stage_b") == [("a", "x/y", "b", "x/y", "duplicate"), ("c", "x/", "a", "x/y", "parent"), ("c", "x/", "b", "x/y", "parent")]

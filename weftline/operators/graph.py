@@ -14,6 +14,8 @@ from weftline.plans.closure import cyclic_part, longest_levels, reachable, reach
 from weftline.plans.scratch import materialize
 
 ARTIFACT, STAGE = "artifact", "stage"
+#: Edges that one task compares.
+A_TASK = 500_000
 
 
 def stage_deps(stages: DataFrame) -> DataFrame:
@@ -190,8 +192,12 @@ def display_order(placed: DataFrame) -> DataFrame:
 
 def edge_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """Edges added and removed when a stage changes."""
-    gone = old.exceptAll(new).withColumn("change_type", F.lit("removed"))
-    return gone.union(new.exceptAll(old).withColumn("change_type", F.lit("added")))
+    sides = old.withColumn("n", F.lit(1)).union(new.withColumn("n", F.lit(-1)))
+    marked = materialize(sides, "edge-sides")
+    spread = marked.repartition(max(1, -(-marked.count() // A_TASK)), *old.columns)
+    kind = F.when(F.col("n") > 0, "removed").otherwise("added").alias("change_type")
+    net = spread.groupBy(*old.columns).agg(F.sum("n").alias("n")).where("n <> 0")
+    return net.select(*old.columns, kind, F.explode(F.array_repeat(F.lit(1), F.abs("n").cast("int")))).drop("col")
 
 
 def orphan_artifacts(old: DataFrame, new: DataFrame) -> DataFrame:
