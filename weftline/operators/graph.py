@@ -129,6 +129,8 @@ def upstream_closure(edges: DataFrame, targets: DataFrame) -> DataFrame:
 
 def affected_stages(edges: DataFrame, paths: DataFrame, include_downstream: bool = True) -> DataFrame:
     """(path, stage): consumers of each path and, if wanted, all that depends on them."""
+    if include_downstream:
+        edges = materialize(edges, "edges")
     direct = paths.select("path").distinct().join(edges.where(F.col("src_type") == ARTIFACT).select(F.col("src").alias("path"), F.col("dst").alias("stage")), "path")
     if not include_downstream:
         return direct.distinct()
@@ -137,7 +139,8 @@ def affected_stages(edges: DataFrame, paths: DataFrame, include_downstream: bool
 
 def touched_stages(edges: DataFrame, paths: DataFrame) -> DataFrame:
     """Distinct stages that consume one of the paths or depend on one that does, without the pairs."""
-    direct = affected_stages(edges, paths, include_downstream=False).select("stage").distinct()
+    edges = materialize(edges, "edges")
+    direct = materialize(affected_stages(edges, paths, include_downstream=False).select("stage").distinct(), "direct")
     return direct.union(reached(stage_edges(edges), direct.select(F.col("stage").alias("src"))).select(F.col("dst").alias("stage"))).distinct()
 
 
