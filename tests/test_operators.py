@@ -42,6 +42,28 @@ def test_folder_dependencies(spark):
     assert rows(graph.stage_edges(edges), "src", "dst") == [("a", "c"), ("b", "c"), ("c", "d")]
 
 
+def test_a_graph_whose_inputs_are_all_outputs_is_built_without_joins(spark):
+    plan = graph.build_edges(stages(spark, DIAMOND))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+
+
+def test_paths_of_one_folder_are_dealt_to_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(graph, "A_TASK", 10)
+    spec = {f"s{n:02}": ([], [f"data/{n:02}.csv", f"data/{n:02}.txt"]) for n in range(50)} | {"all": (["data/"], ["done/"]), "one": (["data/03.csv"], [])} | {f"t{n}": ([f"done/{n}"], []) for n in range(30)}
+    table = stages(spark, spec)
+    edges = graph.build_edges(table)
+    found = graph.producers_of(graph.stage_deps(table), graph.stage_outs(table))
+    every = [("all", "data/", f"s{n:02}", f"data/{n:02}.csv") for n in range(50)] + [("one", "data/03.csv", "s03", "data/03.csv")] + [(f"t{n}", f"done/{n}", "all", "done/") for n in range(30)]
+    assert rows(found, "stage", "producer") == sorted(every)
+    assert rows(graph.stage_edges(edges), "src", "dst") == sorted({(p, s) for s, _, p, _ in every})
+    assert edges.count() == edges.distinct().count() == 101 + 32 + 80  # made, own and linked
+    paths = graph.stage_outs(table).select("path", F.explode(S.ancestors(F.col("path"))).alias("at"))
+    joined = graph._join_dealt(paths, spark.createDataFrame([("data",)], "at string"), "at")
+    assert joined.count() == 100
+    cells = [r["count"] for r in joined.groupBy("cell").count().collect()]
+    assert len(cells) == 10 and max(cells) < 30
+
+
 def test_a_cycle_is_named(spark):
     spec = {"in": ([], ["x"]), "a": (["x", "r"], ["p"]), "b": (["p"], ["q"]), "c": (["q"], ["r"]), "d": (["p", "r"], ["s"]), "out": (["s"], ["t"])}
     edges = graph.build_edges(stages(spark, spec))

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from weftline.functions.scalars import ancestors, stage_base, stage_variant
 from weftline.plans.closure import cyclic_part, longest_levels, reachable, reachable_after, reached
-from weftline.plans.scratch import materialize
+from weftline.plans.scratch import materialize, release
 
 ARTIFACT, STAGE = "artifact", "stage"
-#: Edges that one task compares.
+#: Edges that one task compares; paths of one folder that one task joins.
 A_TASK = 500_000
 
 
@@ -28,32 +28,56 @@ def stage_outs(stages: DataFrame) -> DataFrame:
     return stages.select(F.col("name").alias("stage"), F.explode("outs").alias("o")).select("stage", "o.*")
 
 
+def _dep_paths(deps: DataFrame) -> DataFrame:
+    return materialize(deps.select("stage", F.col("path").alias("dep")).distinct(), "graph-deps")
+
+
+def _out_paths(outs: DataFrame) -> DataFrame:
+    return materialize(outs.select(F.col("stage").alias("producer"), F.col("path").alias("artifact")).distinct(), "graph-outs")
+
+
 def producers_of(deps: DataFrame, outs: DataFrame) -> DataFrame:
     """(stage, dep, producer, artifact): who makes each dependency.
 
     The output of the same path; without one, each stage's first output below the path and
     the shortest output around it.
     """
-    d = deps.select("stage", F.col("path").alias("dep")).distinct()
-    o = outs.select(F.col("stage").alias("producer"), F.col("path").alias("artifact")).distinct()
-    exact = d.join(o, d.dep == o.artifact)
-    rest = d.join(o.select(F.col("artifact").alias("dep")).distinct(), "dep", "left_anti")
-    trimmed = o.withColumn("clean", F.rtrim(F.col("artifact"), F.lit("/")))
-    below = rest.withColumn("at", F.rtrim(F.col("dep"), F.lit("/"))).join(trimmed.withColumn("at", F.explode(ancestors(F.col("clean")))), "at")
+    d, o = _dep_paths(deps), _out_paths(outs)
+    exact = d.join(o, d.dep == o.artifact).select("stage", "dep", "producer", "artifact")
+    by_folder = _producers_by_folder(d, o)
+    return exact if by_folder is None else exact.union(by_folder)
+
+
+def _producers_by_folder(d: DataFrame, o: DataFrame) -> DataFrame | None:
+    """(stage, dep, producer, artifact) of the dependencies that are no output themselves; None if all are."""
+    rest = materialize(d.join(o.select(F.col("artifact").alias("dep")).distinct(), "dep", "left_anti"), "graph-rest")
+    if rest.isEmpty():
+        release(rest)
+        return None
+    dep, artifact = (F.rtrim(F.col(c), F.lit("/")) for c in ("dep", "artifact"))
+    below = _join_dealt(o.withColumn("at", F.explode(ancestors(artifact))), rest.withColumn("at", dep), "at")
     first_below = below.groupBy("stage", "dep", "producer").agg(F.min("artifact").alias("artifact"))
-    around = rest.withColumn("at", F.explode(ancestors(F.rtrim(F.col("dep"), F.lit("/"))))).join(trimmed.withColumnRenamed("clean", "at"), "at")
+    around = _join_dealt(rest.withColumn("at", F.explode(ancestors(dep))), o.withColumn("at", artifact), "at")
     shortest = around.groupBy("stage", "dep").agg(F.min_by(F.struct("producer", "artifact"), F.struct(F.length("artifact"), "producer")).alias("best")).select("stage", "dep", "best.producer", "best.artifact")
-    return exact.select("stage", "dep", "producer", "artifact").union(first_below.select("stage", "dep", "producer", "artifact")).union(shortest).distinct()
+    return first_below.union(shortest)
+
+
+def _join_dealt(many: DataFrame, few: DataFrame, on: str) -> DataFrame:
+    """The join on a column of which ``many`` can have one value very often: its rows are dealt to cells of about A_TASK, and the rows of ``few`` go to each."""
+    often = F.broadcast(many.groupBy(on).agg(F.ceil(F.count(F.lit(1)) / A_TASK).alias("cells")).where("cells > 1"))  # no more rows than many has A_TASK
+    cells = F.coalesce("cells", F.lit(1).cast("bigint"))
+    dealt = many.join(often, on, "left").withColumn("cell", F.pmod(F.xxhash64(*[c for c in many.columns if c != on]), cells)).drop("cells")
+    copied = few.join(often, on, "left").withColumn("cell", F.explode(F.sequence(F.lit(0).cast("bigint"), cells - 1))).drop("cells")
+    return dealt.join(copied, [on, "cell"])
 
 
 def build_edges(stages: DataFrame) -> DataFrame:
-    """Typed edges of the graph of a stages table."""
-    deps, outs = stage_deps(stages), stage_outs(stages)
-    made = outs.select(F.col("stage").alias("src"), F.lit(STAGE).alias("src_type"), F.col("path").alias("dst"), F.lit(ARTIFACT).alias("dst_type"))
-    by_others = producers_of(deps, outs)
-    linked = by_others.select(F.col("artifact").alias("src"), F.lit(ARTIFACT).alias("src_type"), F.col("stage").alias("dst"), F.lit(STAGE).alias("dst_type"))
-    own = deps.select(F.col("path").alias("src"), F.lit(ARTIFACT).alias("src_type"), F.col("stage").alias("dst"), F.lit(STAGE).alias("dst_type"))
-    return made.union(linked).union(own).distinct()
+    """Typed edges of the graph of a stages table; a dependency that is an output itself is linked to its stage by its own edge."""
+    d, o = _dep_paths(stage_deps(stages)), _out_paths(stage_outs(stages))
+    made = o.select(F.col("producer").alias("src"), F.lit(STAGE).alias("src_type"), F.col("artifact").alias("dst"), F.lit(ARTIFACT).alias("dst_type"))
+    used = lambda table, path: table.select(F.col(path).alias("src"), F.lit(ARTIFACT).alias("src_type"), F.col("stage").alias("dst"), F.lit(STAGE).alias("dst_type"))
+    own, by_folder = used(d, "dep"), _producers_by_folder(d, o)
+    return made.union(own if by_folder is None else own.union(used(by_folder, "artifact")).distinct())
 
 
 def unresolved_deps(stages: DataFrame, existing: DataFrame) -> DataFrame:

@@ -80,7 +80,8 @@ def part_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
     read = part_edges(spark, sf_dir).groupBy(F.col("d").alias("k")).agg(F.array_sort(F.collect_list(file_name("s"))).alias("deps"))
     out = F.array(F.struct(file_name("k").alias("path"), F.lit("data").alias("kind"), F.lit(True).alias("cached"), F.lit(False).alias("incremental")))
-    return k.join(read, "k", "left").select(stage_name("k").alias("name"), F.coalesce("deps", F.array().cast("array<string>")).alias("deps"), out.alias("outs"))
+    # A table that is small as a file can have too many keys to broadcast.
+    return k.join(read.hint("merge"), "k", "left").select(stage_name("k").alias("name"), F.coalesce("deps", F.array().cast("array<string>")).alias("deps"), out.alias("outs"))
 
 
 def part_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
