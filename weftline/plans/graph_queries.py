@@ -96,7 +96,7 @@ def execution_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 def display_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = I.table(spark, sf_dir, "part").select(I.stage_name("p_partkey").alias("stage"), "p_partkey", "p_size")
     name = F.expr("CASE WHEN p_partkey % 2 = 0 THEN concat('base_', p_size, '@', p_partkey) ELSE stage END")
-    return graph.display_order(dag_levels(spark, sf_dir).join(part, "stage").select(name.alias("stage"), "level"))
+    return graph.display_order(dag_levels(spark, sf_dir).join(part.hint("merge"), "stage").select(name.alias("stage"), "level"))
 
 
 BACK = f"SELECT src, dst FROM ({LINKS}) UNION SELECT 'stage_' || max(p_partkey), 'stage_1' FROM part"
